@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, licenses, packing
+from tidewell.llm import decontaminate, licenses, neardup, packing, warc
 from tidewell.llm._common import table
 
 
@@ -24,8 +24,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
+def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op7_license_scan, op8_decontamination)}
+    return {f.__name__: f for f in (op6_packing, op7_license_scan, op8_decontamination, op9_minhash_dedup, op10_warc_writer)}
 
 
 OP8_SQL = """
@@ -50,5 +58,39 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)"""
 
 
+OP9_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM shared JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 80 * (x.n + y.n - k)),
+reach AS (
+  SELECT doc_id AS v, doc_id AS u FROM documents
+  UNION
+  SELECT reach.v, link.b FROM reach JOIN link ON reach.u = link.a),
+c AS (SELECT v AS doc_id, min(u) AS component_id FROM reach GROUP BY v)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, component_id = doc_id AS kept
+FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_license_scan": licenses.scan_sql(), "op8_decontamination": OP8_SQL}
+    return {
+        "op7_license_scan": licenses.scan_sql(),
+        "op8_decontamination": OP8_SQL,
+        "op9_minhash_dedup": OP9_SQL,
+        "op10_warc_writer": OP10_SQL,
+    }
