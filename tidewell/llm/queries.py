@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, licenses, neardup, packing, warc
+from tidewell.llm import decontaminate, licenses, neardup, packing, quality, warc
 from tidewell.llm._common import table
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_packing, op7_license_scan, op8_decontamination, op9_minhash_dedup, op10_warc_writer)}
+    return {f.__name__: f for f in (op3_quality_rules, op6_packing, op7_license_scan, op8_decontamination, op9_minhash_dedup, op10_warc_writer)}
 
 
 OP8_SQL = """
