@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, licenses, lm, neardup, packing, quality, warc
+from tidewell.llm import decontaminate, licenses, lm, neardup, packing, quality, substrings, warc
 from tidewell.llm._common import table
 
 
@@ -14,6 +14,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op3_quality_rules, op6_packing, op7_license_scan, op8_decontamination, op9_minhash_dedup, op10_warc_writer)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_quality_rules, op6_packing, op7_license_scan, op8_decontamination, op9_minhash_dedup, op10_warc_writer)}
 
 
 OP8_SQL = """
