@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontaminate, licenses, lm, neardup, packing, quality, substrings, warc
+from tidewell.llm import decontaminate, html_extract, licenses, lm, neardup, packing, quality, secrets, substrings, warc
 from tidewell.llm._common import table
 
 
@@ -22,6 +22,14 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -45,7 +53,19 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_suffix_dedup, op3_quality_rules, op6_packing, op7_license_scan, op8_decontamination, op9_minhash_dedup, op10_warc_writer)}
+    made = (
+        op1_lm_scoring,
+        op2_suffix_dedup,
+        op3_quality_rules,
+        op4_secret_scan,
+        op5_html_extraction,
+        op6_packing,
+        op7_license_scan,
+        op8_decontamination,
+        op9_minhash_dedup,
+        op10_warc_writer,
+    )
+    return {f.__name__: f for f in made}
 
 
 OP8_SQL = """
