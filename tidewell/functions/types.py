@@ -117,7 +117,7 @@ def my_parse(t: Column) -> dict[str, Column]:
     raw = F.trim(F.lower(t))
     base = F.regexp_extract(raw, r"^([^ (]*)", 1)
     inner = F.regexp_extract(raw, r"^[^ (]*\(([^)]*)", 1)
-    arg = lambda i: F.expr("1") if False else F.regexp_extract(inner, r"^\s*([0-9]+)\s*(?:,\s*([0-9]+)\s*)?", i)
+    arg = lambda i: F.regexp_extract(inner, r"^\s*([0-9]+)\s*(?:,\s*([0-9]+)\s*)?", i)
     number = lambda c: F.when(c != "", c.cast("int"))
     return {"raw": raw, "base": base, "family": _family(base, MY_FAMILIES, "geometry-or-other"),
             "unsigned": F.contains(raw, F.lit("unsigned")), "a0": number(arg(1)), "a1": number(arg(2))}

@@ -41,7 +41,7 @@ class Syncer:
     state: Store
     targets: dict[str, Store]
     tables: list[TableMeta]
-    clock: Callable[[], datetime] = datetime.utcnow
+    clock: Callable[[], datetime] = datetime.now
     chunk_rows: int = 10_000
     drain_batch: int = 1_000
     max_age: float = 0
@@ -108,6 +108,13 @@ class Syncer:
             self.source.commit(new)
         return sorted(t.name for t in self.tables)
 
+    def remove_capture(self) -> int:
+        """Drop delta and track tables; how many tables were captured."""
+        names = [t.name for t in self.tables if self.source.exists(f"delta_{t.name}")]
+        if names:
+            self.source.drop([f"{k}_{n}" for n in names for k in ("delta", "track")])
+        return len(names)
+
     def change(self, table: str, after: DataFrame) -> int:
         """Replace a source table and record what changed, in one commit."""
         t = self._by_name[table]

@@ -66,8 +66,7 @@ class Catalog:
     capabilities: frozenset[str] = frozenset()
 
     def select(self, include: Iterable[str] = (), exclude: Iterable[str] = ()) -> list[TableMeta]:
-        names = [n for n, t in self.tables.items() if not t.partitioned or True]
-        return [self.tables[n] for n in select_names(names, list(include), list(exclude))]
+        return [self.tables[n] for n in select_names(list(self.tables), list(include), list(exclude))]
 
     def foreign_keys(self) -> list[ForeignKey]:
         return sorted((fk for t in self.tables.values() for fk in t.foreign_keys), key=lambda f: (f.child, f.name, f.parent))
