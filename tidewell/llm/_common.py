@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Memo entries after which a worker forgets the word hashes it has computed.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 150_000
 
 _M1 = np.uint64(0xFF51AFD7ED558CCD)
 _M2 = np.uint64(0xC4CEB9FE1A85EC53)
