@@ -223,6 +223,42 @@ def test_cyclic_copy_and_keyless_skip(spark, tmp_path):
     assert s.skipped == ["log"] and rows(s.targets["a"].read("emp")) == rows(e)
 
 
+def test_copy_resumes_behind_its_watermark(spark, tmp_path):
+    data = [(i, f"n{i}") for i in range(50)]
+    s = syncer(spark, tmp_path, {"t": (frame(spark, data), {"key": ["id"]})}, chunk_rows=10, chunks_per_commit=2)
+    calls = []
+
+    def crash(new):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        s.copy("a", s.parts[0], hook=crash)
+    assert s.targets["a"].read("t").count() == 20
+    # an append whose watermark was lost is cleared before it is copied again
+    s.targets["a"].append("t", frame(spark, [(20, "stale"), (49, "stale")]))
+    assert s.copy("a", s.parts[0]) == 3
+    assert rows(s.targets["a"].read("t")) == rows(frame(spark, data))
+    assert s.copy("a", s.parts[0]) == 0
+
+
+def test_metrics_and_server(spark):
+    import urllib.request
+
+    from tidewell.plans import status
+
+    delta = frame(spark, [(1, 1, NOW - timedelta(seconds=60))], "delta_id bigint, k int, rc_at timestamp")
+    track = frame(spark, [], "target string, delta_id bigint, consumed_at timestamp")
+    b = retention.backlog(delta, track, ["a"], NOW, 10)
+    text = status.exposition(status.gauges(b, retention.proximity(b, max_age=120), "t"))
+    assert 'retention_proximity{target="a",table="t"} 0.5' in text and "# TYPE backlog_rows gauge" in text
+    server = status.serve(0, lambda: text, lambda: [{"table": "t"}])
+    get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{p}").read().decode()
+    assert get("/metrics") == text and get("/status") == '[{"table": "t"}]' and get("/healthz") == "ok"
+    server.shutdown()
+
+
 def test_copy_merges_into_rows(spark, tmp_path):
     s = syncer(spark, tmp_path, {"t": (frame(spark, [(1, "new"), (2, "b")]), {"key": ["id"]})})
     s.targets["a"].commit({"t": frame(spark, [(1, "old"), (9, "own")])})

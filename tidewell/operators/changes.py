@@ -71,10 +71,15 @@ def apply_pass(source: DataFrame, target: DataFrame, dirty: DataFrame, key: Key)
     return target.join(keys, key, "left_anti").unionByName(reread(source, keys, key).select(*target.columns))
 
 
-def confirm(track: DataFrame, dirty: DataFrame, target: str, now) -> DataFrame:
-    """Track with the exact delta ids that were applied; confirming twice changes nothing."""
+def newly_confirmed(track: DataFrame, dirty: DataFrame, target: str, now) -> DataFrame:
+    """Track rows for the exact delta ids that were applied, without those that are there."""
     done = dirty.select(F.lit(target).alias("target"), "delta_id", F.lit(now).cast("timestamp").alias("consumed_at")).distinct()
-    return track.unionByName(done.join(track, ["target", "delta_id"], "left_anti"))
+    return done.join(track, ["target", "delta_id"], "left_anti")
+
+
+def confirm(track: DataFrame, dirty: DataFrame, target: str, now) -> DataFrame:
+    """Track with what was applied; confirming twice changes nothing."""
+    return track.unionByName(newly_confirmed(track, dirty, target, now))
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: Key) -> DataFrame:

@@ -43,6 +43,7 @@ class Syncer:
     tables: list[TableMeta]
     clock: Callable[[], datetime] = datetime.now
     chunk_rows: int = 10_000
+    chunks_per_commit: int = 100
     drain_batch: int = 1_000
     max_age: float = 0
     max_bytes: int = 0
@@ -122,45 +123,76 @@ class Syncer:
         first = (d.agg(F.max("delta_id")).first()[0] or 0) + 1
         made = changes.snapshot_diff(self.source.read(table), after, list(t.key))
         made = made.withColumn("delta_id", F.monotonically_increasing_id() + F.lit(first)).withColumn("rc_at", F.lit(self.clock()))
-        return self.source.commit({table: after, f"delta_{table}": d.unionByName(made)})
+        return self.source.commit({table: after}, append={f"delta_{table}": made.select(*d.columns)})
 
     # -- initial copy ---------------------------------------------------------
 
     def copy(self, target: str, component: graph.Component, mode: str = "direct", hook=None) -> int:
-        """Copy a component, parents first, chunk by chunk; resumes after the last whole chunk.
-
-        The unfinished tail is always cleared before it is written.  ``merge``
-        upserts into a target that has rows already.  Cyclic references are
-        loaded null and filled in before the component is committed.
+        """Copy a component, parents first; returns the chunks copied.
+
+        Runs of ``chunks_per_commit`` chunks are appended and their watermark
+        kept, so a restart goes on behind the last one; rows beyond the
+        watermark (an append whose watermark was lost) are cleared first.
+        ``merge`` upserts into a target that has rows already.  Cyclic
+        components are loaded with their references null, filled in, checked
+        and committed as one.
         """
-        store, staged, total = self.targets[target], {}, 0
-        done = {(r.table_name): r for r in self._state("progress", PROGRESS).where(
-            (F.col("sync") == self.name) & (F.col("target") == target)).collect()}
-        cyclic = {e.key.child: e.key for e in graph.cyclic_edges(self.tables) if e.strategy == "null-then-fill"}
+        if component.cyclic or mode == "merge":
+            return self._copy_whole(target, component, mode, hook)
+        store, total = self.targets[target], 0
         for name in component.order:
             t, key = self._by_name[name], list(self._by_name[name].key)
-            if name in done and done[name].done:
+            done = self._state("progress", PROGRESS).where(
+                (F.col("sync") == self.name) & (F.col("target") == target) & (F.col("table_name") == name)).first()
+            if done and done.done:
                 continue
             rows = self.source.read(name).select(*t.transport)
             plan = chunks.plan(rows, key, self.chunk_rows)
-            start = done[name].chunk + 1 if name in done and store.exists(name) and done[name].chunk < len(plan) else 0
-            rest = chunks.Chunk(plan[start].lo, None)
-            old = store.read(name) if store.exists(name) else rows.limit(0)
-            part = chunks.scan(rows, key, rest)
-            if mode == "merge":
-                new = changes.upsert(old, part, key)
+            start = done.chunk + 1 if done and store.exists(name) else 0
+            if store.exists(name):
+                tail = chunks.Chunk(plan[start].lo, None) if start < len(plan) else None
+                if tail and not chunks.scan(store.read(name), key, tail).limit(1).isEmpty():
+                    store.commit({name: chunks.delete_range(store.read(name), key, tail)})
             else:
-                new = chunks.delete_range(old, key, rest).unionByName(part)
-            if name in cyclic:
-                cols = list(cyclic[name].child_columns)
-                new = changes.filled(changes.nulled(new, cols), new, key, cols)
-            staged[name] = new
-            total += len(plan) - start
-        if staged:
-            store.commit(staged, hook=hook)
-            self._put("progress", PROGRESS, [(self.name, target, n, True, 0) for n in staged], ["sync", "target", "table_name"])
+                store.commit({name: rows.limit(0)})
+            for i in range(start, len(plan), self.chunks_per_commit):
+                last = min(i + self.chunks_per_commit, len(plan)) - 1
+                store.commit(append={name: chunks.scan(rows, key, chunks.Chunk(plan[i].lo, plan[last].hi))}, hook=hook)
+                self._progress(target, name, last == len(plan) - 1, last)
+                total += last + 1 - i
+            self._progress(target, name, True, len(plan) - 1)
         return total
 
+    def _progress(self, target: str, table: str, done: bool, chunk: int) -> None:
+        self._put("progress", PROGRESS, [(self.name, target, table, done, chunk)], ["sync", "target", "table_name"])
+
+    def _copy_whole(self, target: str, component: graph.Component, mode: str, hook) -> int:
+        store, staged = self.targets[target], {}
+        cyclic: dict[str, list[str]] = {}
+        for e in graph.cyclic_edges(self.tables):
+            if e.strategy == "blocked":
+                raise ValueError(f"{e.key.child}.{e.key.name} is on a cycle and can be neither deferred nor left null")
+            if e.strategy == "null-then-fill":
+                cyclic.setdefault(e.key.child, []).extend(e.key.child_columns)
+        for name in component.order:
+            t, key = self._by_name[name], list(self._by_name[name].key)
+            rows = self.source.read(name).select(*t.transport)
+            if name in cyclic:
+                cols = list(dict.fromkeys(cyclic[name]))
+                rows = changes.filled(changes.nulled(rows, cols), rows, key, cols)
+            staged[name] = changes.upsert(store.read(name), rows, key) if mode == "merge" and store.exists(name) else rows
+        check = self._validate(component, store)
+
+        def both(new: dict[str, DataFrame]) -> None:
+            check(new)
+            if hook:
+                hook(new)
+
+        store.commit(staged, hook=both)
+        for name in staged:
+            self._progress(target, name, True, 0)
+        return len(staged)
+
     def bring_up(self) -> None:
         """Capture first, then copy each component and cut over to streaming."""
         self.install_capture()
@@ -199,7 +231,11 @@ class Syncer:
         store.commit(new, hook=self._validate(component, store))
         if before_confirm:
             before_confirm()
-        self.source.commit({f"track_{n}": changes.confirm(self.track(self._by_name[n]), d, target, self.clock()) for n, d in dirty.items()})
+        done = {}
+        for n, d in dirty.items():
+            old = self.track(self._by_name[n])
+            done[f"track_{n}"] = changes.newly_confirmed(old, d, target, self.clock())
+        self.source.commit(append=done)
         return sum(d.count() for d in dirty.values())
 
     def drain(self, target: str, component: graph.Component) -> int:

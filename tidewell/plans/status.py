@@ -41,3 +41,47 @@ def recent_events(events: DataFrame, n: int = 20) -> DataFrame:
 
 def throughput(consumed: int, seconds: float) -> float:
     return consumed / seconds if seconds > 0 else 0.0
+
+
+def gauges(backlogs: DataFrame, proximities: DataFrame, table: str) -> DataFrame:
+    """Backlog metrics of a table's targets, one row per metric and target."""
+    b = backlogs.join(proximities, "target")
+    row = lambda name, c: F.struct(F.lit(name).alias("metric"), F.col("target"), F.lit(table).alias("table_name"), F.col(c).cast("double").alias("value"))
+    return b.select(F.explode(F.array(
+        row("backlog_rows", "rows"), row("backlog_bytes", "bytes"), row("backlog_oldest_age_seconds", "oldest_age"), row("retention_proximity", "proximity"))).alias("x")).select("x.*")
+
+
+def exposition(metrics: DataFrame) -> str:
+    """Metrics as text for a scraper."""
+    rows = sorted(metrics.collect(), key=lambda r: (r.metric, r.target, r.table_name))
+    out, last = [], None
+    for r in rows:
+        if r.metric != last:
+            out.append(f"# TYPE {r.metric} {METRICS[r.metric]}")
+            last = r.metric
+        out.append(f'{r.metric}{{target="{r.target}",table="{r.table_name}"}} {r.value:g}')
+    return "\n".join([*out, ""])
+
+
+def serve(port: int, metrics, report_rows, healthy=lambda: True):
+    """A small HTTP server with /metrics, /status and /healthz; the arguments are functions."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            ok = healthy()
+            pages = {"/metrics": metrics, "/status": lambda: json.dumps(report_rows(), default=str), "/healthz": lambda: "ok" if ok else "failing"}
+            code = 404 if self.path not in pages else 503 if self.path == "/healthz" and not ok else 200
+            body = pages[self.path]().encode() if code != 404 else b""
+            self.send_response(code)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a) -> None:
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", port), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    return server

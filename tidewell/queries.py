@@ -6,6 +6,7 @@ Change data is derived from ``events`` (deltas on customers), ``customer``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from tidewell.functions import globs, scalars, types
 from tidewell.operators import changes, chunks, keyvalue, retention
 from tidewell.plans import graph, preflight, status
-from tidewell.sources.catalog import Column, ForeignKey, TableMeta, columns_frame, key_columns, key_violations
+from tidewell.plans.engine import Syncer
+from tidewell.sources.catalog import Column, ForeignKey, TableMeta, columns_frame, introspect, key_columns, key_violations
+from tidewell.sources.store import Store
 
 NOW = datetime(2024, 1, 31)
 KEY = ["c_custkey"]
@@ -536,19 +539,14 @@ def key_columns_by_table(spark, d):
 @query(_with("src", "SELECT * FROM src"))
 def stream_drain_converges(spark, d):
     """A store that drains deltas until none are left equals its source."""
-    from tidewell.plans.engine import Syncer
-    from tidewell.sources.catalog import introspect
-    from tidewell.sources.store import Store
-
     x = _Data(spark, d)
     base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
-    import uuid
-
     root = f"{base}/sync-{uuid.uuid4().hex}"
     source, target = Store(spark, f"{root}/source"), Store(spark, f"{root}/target")
     source.commit({"customer": x.table("customer")})
+    source.drop_at_exit(root)
     s = Syncer(spark, "demo", source, Store(spark, f"{root}/state"), {"a": target}, [introspect("customer", x.table("customer"), key=KEY)], clock=lambda: NOW,
                chunk_rows=1_000_000, drain_batch=1_000_000)
     s.bring_up()

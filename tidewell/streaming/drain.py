@@ -22,9 +22,11 @@ def drain_batches(
     """The function for ``foreachBatch``."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        old = source.read(f"delta_{table}") if source.exists(f"delta_{table}") else batch.limit(0)
-        delta = old.unionByName(batch.join(old.select("delta_id"), "delta_id", "left_anti")).dropDuplicates(["delta_id"])
-        source.commit({f"delta_{table}": delta})
+        new = batch.dropDuplicates(["delta_id"])
+        if source.exists(f"delta_{table}"):
+            new = new.join(source.read(f"delta_{table}").select("delta_id"), "delta_id", "left_anti").select(*batch.columns)
+        source.append(f"delta_{table}", new)
+        source.compact(f"delta_{table}")
         track = source.read(f"track_{table}") if source.exists(f"track_{table}") else spark.createDataFrame(
             [], "target string, delta_id bigint, consumed_at timestamp")
         dirty = changes.dirty_keys(source.read(f"delta_{table}"), track, name)
@@ -34,7 +36,8 @@ def drain_batches(
         target.commit({table: changes.apply_pass(rows, target.read(table) if target.exists(table) else rows.limit(0), dirty, key)})
         if before_confirm:
             before_confirm(batch_id)
-        source.commit({f"track_{table}": changes.confirm(track, dirty, name, clock())})
+        source.append(f"track_{table}", changes.newly_confirmed(track, dirty, name, clock()))
+        source.compact(f"track_{table}")
 
     return run
 
