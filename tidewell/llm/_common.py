@@ -6,10 +6,19 @@ and on a cluster.
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
+import shutil
+import sys
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +45,46 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _S33)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once a context.
+
+    Workers import it by name; they need not start in its folder or have it on
+    their path.
+    """
+    sc = spark.sparkContext
+    if not getattr(sc, "_tidewell_sent", False):
+        top = Path(__file__).resolve().parents[1]
+        d = tempfile.mkdtemp()  # Spark serves the file from here as long as the driver runs
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+        name = f"{d}/{top.name}.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(name)
+        sys.path[:] = [p for p in sys.path if not p.endswith(f"/{top.name}.zip")]  # the driver has the package itself
+        sc._tidewell_sent = True
+    return spark
+
+
+def tidy(run):
+    """A batch function that hands freed memory back when its task ends.
+
+    Worker processes outlive tasks and stages; what a stage needed must not
+    count against the next one.
+    """
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped
+
+
 class WordHasher(dict):
     """64-bit hashes of byte words, remembered while the worker sees them again."""
 
@@ -87,22 +136,23 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, what)
     df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df_or_path: str, spark: SparkSession) -> None:
-    """Delete a folder made by :func:`shared_dir` (any Hadoop file system)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_or_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder of this session deleted when its driver ends."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def only(df: DataFrame, *cols: str) -> DataFrame:
-    """The named columns, whatever else the table has."""
+    """The named columns, whatever else the table has; the start of every operator with workers."""
+    ship(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in cols])
 
 

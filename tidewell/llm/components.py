@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import stored
+from tidewell.llm._common import ship, stored, tidy
 
 #: Links a task contracts at a time.
 CONTRACT = 500_000
@@ -78,10 +78,11 @@ def components(links: DataFrame) -> DataFrame:
 
     ``links`` has two bigint columns.  Null ends and self links are ignored.
     """
+    ship(links.sparkSession)
     a, b = links.columns
     e = links.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = e.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v"))
-    e = stored(e.mapInArrow(_contract, "u bigint, v bigint").distinct(), "links")
+    e = stored(e.mapInArrow(tidy(_contract), "u bigint, v bigint").distinct(), "links")
     mark = lambda d: d.agg(
         F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
     was = mark(e)

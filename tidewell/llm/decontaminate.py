@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import WordHasher, alnum_words, grams, only
+from tidewell.llm._common import WordHasher, alnum_words, grams, only, stored, tidy
 
 WINDOW = 10
 K = 6
@@ -128,7 +128,7 @@ def _mark(shared, schema: pa.Schema):
                 schema=schema,
             )
 
-    return run
+    return tidy(run)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, k: int, limit: int) -> Iterator[Items]:
@@ -163,7 +163,7 @@ def contamination(
     share = d.sparkSession.sparkContext.broadcast
     blocks = [share(b) for b in _blocks(benchmark, item_col, item_text_col, window, k, block_words)]
     if len(blocks) > 1:  # rows get a number, so that equal ids stay apart
-        d = d.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text")
+        d = stored(d.select(F.struct("doc_id", F.monotonically_increasing_id().alias("row")).alias("doc_id"), "text"), "texts")
         kind = f"struct<doc_id:{kind},row:bigint>"
     arrow = pa.schema([
         ("doc_id", _arrow_type(d)),

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import only
+from tidewell.llm._common import only, tidy
 
 TRAINING_PAGES = 1200
 SEED = 20240607
@@ -392,7 +392,7 @@ def _extract(shared):
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=["page_id", "url", "text", "n_chars"])
 
-    return run
+    return tidy(run)
 
 
 def extract(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import _K, WordHasher, ascii_words, grams, mix, only, stored
+from tidewell.llm._common import _K, WordHasher, ascii_words, grams, mix, only, stored, tidy
 from tidewell.llm.components import components
 
 BANDS = 42
@@ -122,7 +122,7 @@ def _sketch(size: int, bands: int, rows: int, schema: pa.Schema):
                     schema=schema,
                 )
 
-    return run
+    return tidy(run)
 
 
 def _check(size: int, percent: int):
@@ -138,7 +138,7 @@ def _check(size: int, percent: int):
                 good[i] = 100 * both >= percent * (len(kept) + len(y) - both) and both > 0
             yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _rarest(size: int, percent: int):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(s), node.as_py())), pa.array(np.full(len(s), n.as_py())), pa.array(s)], names=["node", "n", "s"])
 
-    return run
+    return tidy(run)
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -227,7 +227,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> D
         .where((100 + percent) * room >= percent * (F.col("na") + F.col("nb")))
         .select("a", "b").distinct()
     )
-    return links.unionByName(verified(pairs, texts, size, percent))
+    return stored(links.unionByName(verified(pairs, texts, size, percent)), "verified")
 
 
 def near_duplicates(

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import only, pieces
+from tidewell.llm._common import only, pieces, tidy
 
 WINDOW = 2048
 END_ID = 1
@@ -83,19 +84,23 @@ def best_fit_decreasing(sizes: list[int], window: int = WINDOW) -> tuple[list[in
 
 
 @functools.lru_cache(maxsize=2)
-def _encoders(name: str):
+def _full(name: str):
     import public_tokenizers
-    import tiktoken
     from tokenizers import Tokenizer
 
-    full = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+    return Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
+
+
+@functools.lru_cache(maxsize=2)
+def _fast(name: str):
+    import public_tokenizers
+    import tiktoken
+
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    special = {t.content: i for i, t in full.get_added_tokens_decoder().items()}
-    fast = tiktoken.Encoding(
-        name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special
-    )
-    return full, fast
+    with open(public_tokenizers.path(f"{name}.json"), "rb") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def encode(text: str | None, tokenizer: str = "byte_bpe_50k") -> np.ndarray:
@@ -106,10 +111,9 @@ def encode(text: str | None, tokenizer: str = "byte_bpe_50k") -> np.ndarray:
     """
     if not text:
         return np.empty(0, "<u4")
-    full, fast = _encoders(tokenizer)
     if len(text) < 1_000_000 and (text.isascii() or max(text) < FAST_BELOW):
-        return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), "<u4")
-    return np.asarray(full.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.asarray(_fast(tokenizer).encode_to_numpy(text, allowed_special="all"), "<u4")
+    return np.asarray(_full(tokenizer).encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def _measure(window: int, end_id: int, tokenizer: str, ids: bool, schema: pa.Schema):
@@ -133,7 +137,7 @@ def _measure(window: int, end_id: int, tokenizer: str, ids: bool, schema: pa.Sch
                     cols.append(pa.array(out, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def _pack(window: int, ids: bool, schema: pa.Schema):
@@ -169,7 +173,7 @@ def _pack(window: int, ids: bool, schema: pa.Schema):
             )
         yield from pa.table(cols).cast(schema).to_batches(max_chunksize=10_000)
 
-    return run
+    return tidy(run)
 
 
 def pack(

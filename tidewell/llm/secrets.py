@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidewell.llm._common import only
+from tidewell.llm._common import only, ship, tidy
 from tidewell.llm.forest import Forest
 
 TRAINING_FINDINGS = 6000
@@ -253,7 +253,7 @@ def _scan(shared, threshold: float):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.int64()), pa.array(rows, _FOUND), pa.array(sha)],
                 names=["doc_id", "n_candidates", "n_secrets", "findings", "redacted_sha256"])
 
-    return run
+    return tidy(run)
 
 
 def _path(docs: DataFrame, path_col: str):
@@ -279,11 +279,11 @@ def _redact(shared, threshold: float, text_at: int, path_at: int, schema: pa.Sch
             cols[text_at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return run
+    return tidy(run)
 
 
 def redact(docs: DataFrame, *, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
     """The same rows and columns, each secret in the text replaced by its rule's name in brackets."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or default_forest())
+    shared = ship(docs.sparkSession).sparkContext.broadcast(forest or default_forest())
     path_at = docs.columns.index(path_col) if path_col in docs.columns and dict(docs.dtypes)[path_col] == "string" else -1
     return docs.mapInArrow(_redact(shared, threshold, docs.columns.index(text_col), path_at, to_arrow_schema(docs.schema)), docs.schema)

@@ -18,6 +18,9 @@ Which rows the second reading sends is decided by a bitmap of bounded size; a
 false positive only costs a row that the exact join then drops.  Texts without
 removed bytes are never shuffled (likewise by bitmap).
 
+Rows are told apart by a 64-bit hash of id and text, which every scan finds
+again whatever order it reads in; rows equal in both have equal results.
+
 Cases: null and empty texts have no bytes; texts under ``span`` bytes are never
 touched; repeated rows are documents of their own, so all of both goes; long
 texts are read in pieces; ties of hashes fall to the leftmost gram; an empty
@@ -35,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import _K, mix, only, stored
+from tidewell.llm._common import _K, mix, only, stored, tidy
 from tidewell.llm.suffixes import common_prefix, deep_shallow_sort
 
 SPAN = 400
@@ -129,7 +132,7 @@ def _find(span: int):
         if rows:
             yield _batches(rows, _FOUND_A)
 
-    return run
+    return tidy(run)
 
 
 class Bitmap:
@@ -183,7 +186,7 @@ def _reread(span: int, shared):
         if rows:
             yield _batches(rows, _TEXT_A)
 
-    return run
+    return tidy(run)
 
 
 def shared_windows(members: list[tuple[int, int, int, bytes]], span: int) -> list[np.ndarray]:
@@ -252,7 +255,7 @@ def _sorted_groups(span: int):
         if rows:
             yield _batches(rows, _SPANS_A)
 
-    return run
+    return tidy(run)
 
 
 def _windows(span: int):
@@ -265,7 +268,7 @@ def _windows(span: int):
                         for s in range(lo, hi + 1)]
                 yield _batches(rows, schema)
 
-    return run
+    return tidy(run)
 
 
 def repeated_windows(rows: DataFrame, span: int, hot: int = HOT) -> DataFrame:
@@ -310,7 +313,7 @@ def _strip(span: int, keep: bool):
                 [batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types)]],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes"][: 5 + keep])
 
-    return run
+    return tidy(run)
 
 
 def _holds(shared):
@@ -318,20 +321,19 @@ def _holds(shared):
         for batch in batches:
             yield batch.append_column("cut", pa.array(shared.value.has(batch.column(0).to_numpy())))
 
-    return run
+    return tidy(run)
 
 
 def remove_repeats(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, hot: int = HOT, keep_bytes: bool = False
 ) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_bytes, the rest)."""
-    d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
+    d = only(docs, id_col, text_col).toDF("doc_id", "text").withColumn("rid", F.xxhash64("doc_id", "text"))
     kind = dict(d.dtypes)["doc_id"]
     spans = stored(repeated_windows(d.select("rid", "text"), span, hot), "spans")
     ranges = spans.groupBy("rid").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
-    wanted = d.sparkSession.sparkContext.broadcast(Bitmap(spans.select("rid").distinct(), F.xxhash64("rid")))
-    flagged = d.withColumn("key", F.xxhash64("rid")).select("key", "rid", "doc_id", "text").mapInArrow(
-        _holds(wanted), f"key bigint, rid bigint, doc_id {kind}, text string, cut boolean")
+    wanted = d.sparkSession.sparkContext.broadcast(Bitmap(spans.select("rid").distinct(), F.col("rid")))
+    flagged = d.select("rid", "doc_id", "text").mapInArrow(_holds(wanted), f"rid bigint, doc_id {kind}, text string, cut boolean")
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept_bytes binary" * keep_bytes
     none = F.lit(None).cast("array<bigint>")
     same = flagged.where("not cut").select("doc_id", "text", none.alias("lo"), none.alias("hi"))
