@@ -201,6 +201,28 @@ def test_converges_through_random_changes(spark, tmp_path):
     assert s.delta(s.tables[0]).count() == 0 and s.track(s.tables[0]).count() == 0
 
 
+def test_passes_write_only_changed_buckets(spark, tmp_path):
+    data = {i: f"n{i}" for i in range(200)}
+    s = syncer(spark, tmp_path, {"t": (frame(spark, list(data.items())), {"key": ["id"]})}, buckets=16, chunk_rows=50)
+    s.bring_up()
+    store = s.targets["a"]
+    before = store.manifest()["tables"]["t"]["parts"]
+    assert store.bucketing("t") == (["id"], 16) and rows(store.read("t")) == rows(frame(spark, list(data.items())))
+    data[5] = "new"
+    data[1000] = "more"
+    del data[7]
+    s.change("t", frame(spark, list(data.items())))
+    assert s.drain_until_empty("a") == 3
+    after = store.manifest()["tables"]["t"]["parts"]
+    assert rows(store.read("t")) == rows(frame(spark, list(data.items())))
+    assert 1 <= sum(before.get(b) != after.get(b) for b in set(before) | set(after)) <= 3
+    s.change("t", frame(spark, []))
+    s.drain_until_empty("a")
+    assert store.read("t").count() == 0 and store.vacuum() > 0
+    s.flag_reseed("a", ["t"])
+    assert s.reseed("a") == 1 and store.bucketing("t")[1] == 16
+
+
 def test_child_before_parent_waits(spark, tmp_path):
     key = ForeignKey("f", "child", ("pid",), "parent", ("id",))
     s = syncer(spark, tmp_path, {"parent": (frame(spark, [(1, "p")]), {"key": ["id"]}),

@@ -21,7 +21,7 @@ from tidewell.functions.scalars import backoff_ms
 from tidewell.operators import changes, chunks, retention
 from tidewell.plans import graph
 from tidewell.sources.catalog import TableMeta
-from tidewell.sources.store import Store
+from tidewell.sources.store import Store, bucket_of
 
 PROGRESS = "sync string, target string, table_name string, done boolean, chunk int"
 CURSORS = "sync string, target string, table_name string, phase string, needs_reseed boolean, updated_at timestamp"
@@ -44,6 +44,7 @@ class Syncer:
     clock: Callable[[], datetime] = datetime.now
     chunk_rows: int = 10_000
     chunks_per_commit: int = 100
+    buckets: int = 0  # hash buckets of a target table; 0 writes a table as a whole
     drain_batch: int = 1_000
     max_age: float = 0
     max_bytes: int = 0
@@ -148,18 +149,20 @@ class Syncer:
                 continue
             rows = self.source.read(name).select(*t.transport)
             plan = chunks.plan(rows, key, self.chunk_rows)
-            start = done.chunk + 1 if done and store.exists(name) else 0
-            if store.exists(name):
+            start = done.chunk + 1 if done and store.exists(name) and not store.bucketing(name) else 0
+            if store.exists(name) and not store.bucketing(name):
                 tail = chunks.Chunk(plan[start].lo, None) if start < len(plan) else None
                 if tail and not chunks.scan(store.read(name), key, tail).limit(1).isEmpty():
                     store.commit({name: chunks.delete_range(store.read(name), key, tail)})
-            else:
+            else:  # new, or bucketed by an earlier copy: written from the start
                 store.commit({name: rows.limit(0)})
             for i in range(start, len(plan), self.chunks_per_commit):
                 last = min(i + self.chunks_per_commit, len(plan)) - 1
                 store.commit(append={name: chunks.scan(rows, key, chunks.Chunk(plan[i].lo, plan[last].hi))}, hook=hook)
                 self._progress(target, name, last == len(plan) - 1, last)
                 total += last + 1 - i
+            if self.buckets:
+                store.commit(bucketed={name: (store.read(name), key, self.buckets)})
             self._progress(target, name, True, len(plan) - 1)
         return total
 
@@ -188,7 +191,10 @@ class Syncer:
             if hook:
                 hook(new)
 
-        store.commit(staged, hook=both)
+        if self.buckets:
+            store.commit(bucketed={n: (df, list(self._by_name[n].key), self.buckets) for n, df in staged.items()}, hook=both)
+        else:
+            store.commit(staged, hook=both)
         for name in staged:
             self._progress(target, name, True, 0)
         return len(staged)
@@ -219,16 +225,22 @@ class Syncer:
     def drain_component(self, target: str, component: graph.Component, *, before_confirm=None) -> int:
         """One transaction: the oldest dirty keys of each table, current values, one commit, then confirmation."""
         store = self.targets[target]
-        new, dirty = {}, {}
+        new, parts, dirty = {}, {}, {}
         for name in component.order:
             t, key = self._by_name[name], list(self._by_name[name].key)
             d = changes.dirty_keys(self.delta(t), self.track(t), target, self.drain_batch).checkpoint()
-            if not d.isEmpty():
-                dirty[name] = d
-                new[name] = changes.apply_pass(self.source.read(name).select(*t.transport), store.read(name), d, key)
-        if not new:
+            if d.isEmpty():
+                continue
+            dirty[name] = d
+            rows = self.source.read(name).select(*t.transport)
+            if how := store.bucketing(name):  # only buckets that hold dirty keys are read and written
+                ids = sorted(r[0] for r in d.select(bucket_of(*how)).distinct().collect())
+                parts[name] = changes.apply_pass(rows, store.read(name, ids), d, key), ids
+            else:
+                new[name] = changes.apply_pass(rows, store.read(name), d, key)
+        if not dirty:
             return 0
-        store.commit(new, hook=self._validate(component, store))
+        store.commit(new, replace=parts, hook=self._validate(component, store))
         if before_confirm:
             before_confirm()
         done = {}
