@@ -13,8 +13,8 @@ range where the counts are.  A broadcast holds at most ``filter_bytes`` of the
 pair filter; a larger one is scored in so many passes, each token being scored
 in the pass that holds its pair.  The filter of single words goes with each.
 
-The unigram baseline uses exact counts: words with a share of at least 2^-22
-of all tokens (so at most 2^22 of them) are broadcast, the others are joined.
+The unigram baseline uses exact counts: words with a share of at least 2^-20
+of all tokens (so at most 2^20 of them) are broadcast, the others are joined.
 
 Cases: a null or empty text is the end token alone; a null id is no remainder
 that is held out, so it trains; repeated rows train and are scored each; with
@@ -26,24 +26,28 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import _K, WordHasher, ascii_words, mix, only, stored
+from tidewell.llm._common import _K, WordHasher, ascii_words, mix, only, stored, tidy
 
-#: Bits and probes for each level of a key: about 0.8 % of absent levels seem present.
-BITS, PROBES = 10, 6
+#: Bits and probes for each level of a key: some 0.7 % of absent levels seem present.
+BITS, PROBES = 12, 7
+#: Bits of a block, which holds all probes of a level.
+BLOCK = 512
 FILTER_BYTES = 256 << 20
 #: Text bytes for each range of hashes.
 RANGE_BYTES = 8 << 20
 #: Words that may be broadcast with exact counts.
-FREQUENT = 1 << 22
+FREQUENT = 1 << 20
 #: Tokens that a task gathers before it combines them.
-GATHER = 4_000_000
+GATHER = 2_000_000
+#: Documents that a task scores together.
+SCORED = 500
 #: Weight of the pair's relative frequency.
 PAIR_WEIGHT = 0.25
 
@@ -67,39 +71,49 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.searchsorted(LEVELS, count, "right")
 
 
-def _probe(key: np.ndarray, n: int, bits: np.ndarray, i: int) -> np.ndarray:
-    """Position of probe i for (key, level n) in a range of so many bits."""
+def _place(key: np.ndarray, n: int, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, bits) of (key, level n) in a range of so many blocks: nine bits of
+    ``bits`` for each probe.  All probes of a level lie in one cache line."""
     h = mix(key + np.uint64((int(_K) * n) & 0xFFFFFFFFFFFFFFFF))
-    return (h + np.uint64(i) * (mix(h ^ START) | np.uint64(1))) % bits
+    return ((h >> np.uint64(32)) * blocks >> np.uint64(32)).astype(np.int64), mix(h ^ START)
 
 
 def make_range(key: np.ndarray, count: np.ndarray) -> tuple[int, bytes]:
-    """(bits, filter) of one range's keys."""
+    """(blocks, filter) of one range's keys."""
     q = level(count)
-    bits = np.uint64(max(64, -(-int(q.sum()) * BITS // 64) * 64))
-    out = np.zeros(int(bits), bool)
+    blocks = max(1, -(-int(q.sum()) * BITS // BLOCK))
+    out = np.zeros(blocks * BLOCK, bool)
     n = 0
     while len(key):
         n += 1
+        block, bits = _place(key, n, np.uint64(blocks))
         for i in range(PROBES):
-            out[_probe(key, n, bits, i).astype(np.int64)] = True
+            out[block * BLOCK + (bits >> np.uint64(9 * i) & np.uint64(BLOCK - 1)).astype(np.int64)] = True
         more = q > n
         key, q = key[more], q[more]
-    return int(bits), np.packbits(out, bitorder="little").tobytes()
+    return blocks, np.packbits(out, bitorder="little").tobytes()
 
 
 class Ranges:
     """Bloom filters over ranges of the hash space, back to back."""
 
-    def __init__(self, ranges: int, parts: dict[int, tuple[int, bytes]]):
+    def __init__(self, ranges: int, sizes: list[tuple[int, int]], parts: Iterable[tuple[int, bytes]]):
         self.shift = np.uint64(64 - (ranges.bit_length() - 1))
-        self.bits = np.zeros(ranges, np.uint64)
-        self.start = np.zeros(ranges, np.int64)
-        at = 0
-        for r, (bits, data) in sorted(parts.items()):
-            self.bits[r], self.start[r] = bits, at
-            at += len(data)
-        self.data = np.frombuffer(b"".join(d for _, (_, d) in sorted(parts.items())), np.uint8)
+        self.blocks = np.zeros(ranges, np.uint64)
+        for r, n in sizes:
+            self.blocks[r] = n
+        ends = np.cumsum(self.blocks).astype(np.int64)
+        self.start = ends - self.blocks.astype(np.int64)
+        words = BLOCK // 64
+        self.data = np.zeros(int(ends[-1]) * words, "<u8")
+        for r, data in parts:
+            self.data[self.start[r] * words : ends[r] * words] = np.frombuffer(data, "<u8")
+
+    def __getstate__(self) -> dict:  # bytes are read back without a second copy
+        return {**self.__dict__, "data": self.data.tobytes()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = {**state, "data": np.frombuffer(state["data"], "<u8")}
 
     def range_of(self, key: np.ndarray) -> np.ndarray:
         return (key >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(key), np.int64)
@@ -108,14 +122,17 @@ class Ranges:
         """The level of each key, by membership probes until one fails."""
         out = np.zeros(len(key), np.int64)
         r = self.range_of(key)
-        at = np.flatnonzero(self.bits[r] > 0)
+        at = np.flatnonzero(self.blocks[r] > 0)
         n = 0
         while len(at):
             n += 1
+            block, bits = _place(key[at], n, self.blocks[r[at]])
+            word = (block + self.start[r[at]]) * (BLOCK // 64)
             for i in range(PROBES):
-                p = _probe(key[at], n, self.bits[r[at]], i)
-                byte = self.data[self.start[r[at]] + (p >> np.uint64(3)).astype(np.int64)]
-                at = at[(byte >> (p & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                b = bits >> np.uint64(9 * i) & np.uint64(BLOCK - 1)
+                ok = self.data[word + (b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1) > 0
+                if not ok.all():
+                    at, word, bits = at[ok], word[ok], bits[ok]
                 if not len(at):
                     break
             out[at] = n
@@ -175,7 +192,7 @@ def _gather(ranges: int):
             for kind in (0, 1):
                 yield from out(kind, held[kind])
 
-    return run
+    return tidy(run)
 
 
 def _merged(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -187,11 +204,11 @@ def _merged(lists: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _reduce(keep_counts: bool):
     def run(t: pa.Table) -> pa.Table:
         key, count = _merged(t.column("list").to_pylist())
-        bits, data = make_range(key, count)
+        blocks, data = make_range(key, count)
         return pa.table({
             "kind": pa.array([t.column("kind")[0].as_py()], pa.int32()),
             "r": pa.array([t.column("r")[0].as_py()], pa.int64()),
-            "bits": pa.array([bits], pa.int64()),
+            "blocks": pa.array([blocks], pa.int64()),
             "data": pa.array([data], pa.binary()),
             "tokens": pa.array([int(count.sum())], pa.int64()),
             "h": pa.array([key.view(np.int64) if keep_counts else []], pa.list_(pa.int64())),
@@ -201,15 +218,17 @@ def _reduce(keep_counts: bool):
     return run
 
 
-_FILTER = "kind int, r bigint, bits bigint, data binary, tokens bigint, h array<bigint>, c array<bigint>"
+_FILTER = "kind int, r bigint, blocks bigint, data binary, tokens bigint, h array<bigint>, c array<bigint>"
 
 
 class Scorer:
     """What a worker needs to score tokens whose pairs lie in its part of the filter."""
 
-    def __init__(self, words: Ranges, pairs: Ranges, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, all_pairs: bool):
+    def __init__(self, words: Ranges, pairs: Ranges, frequent: tuple[np.ndarray, np.ndarray],
+                 tokens: int, distinct: int, texts: int, own: tuple[int, int] | None):
+        self.texts, self.own = texts, own  # own: the first and last range scored here, None for all
         self.words, self.pairs, self.frequent = words, pairs, frequent
-        self.tokens, self.distinct, self.all_pairs = tokens, distinct, all_pairs
+        self.tokens, self.distinct = tokens, distinct
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of frequent words, -1 for all others."""
@@ -220,44 +239,43 @@ class Scorer:
         at[at == len(keys)] = 0
         return np.where(keys[at] == h, counts[at], -1)
 
-    def logp(self, h: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        """Sum of log10 probabilities by text, of the tokens scored here."""
+    def logp(self, h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log10 probabilities by text, of the tokens scored here; and every
+        token's exact count, -1 where that is not broadcast."""
         first = np.append(True, owner[1:] != owner[:-1])
-        before = np.where(first, START, np.append(START, h[:-1]))
-        pair = pair_keys(before, h) & ~np.uint64(0xFFFF)
-        mine = slice(None) if self.all_pairs else np.flatnonzero(self.pairs.bits[self.pairs.range_of(pair)] > 0)
-        h, before, owner, pair = h[mine], before[mine], owner[mine], pair[mine]
-        w, at = np.unique(np.concatenate([h, before]), return_inverse=True)
+        w, at = np.unique(h, return_inverse=True)
         known = self.exact(w)
-        # what is broadcast exactly needs no probes; the filter answers for the rest
-        rare = np.flatnonzero(known < 0)
         count = known.astype(np.float64)
+        rare = np.flatnonzero(known < 0)  # the filter answers for these
         count[rare] = self.words.counts(w[rare])
-        c_word, c_before = count[at[: len(h)]], count[at[len(h) :]]
+        exact, c_word = known[at], count[at]
+        before = np.where(first, START, np.append(START, h[:-1]))
+        c_before = np.where(first, max(1, self.texts), np.append(0.0, c_word[:-1]))
+        pair = pair_keys(before, h) & ~np.uint64(0xFFFF)
+        if self.own:
+            r = self.pairs.range_of(pair)
+            mine = np.flatnonzero((r >= self.own[0]) & (r <= self.own[1]))
+            owner, pair, c_word, c_before = owner[mine], pair[mine], c_word[mine], c_before[mine]
         p, where = np.unique(pair, return_inverse=True)
         c_pair = np.minimum(self.pairs.counts(p)[where], c_word)
-        texts = max(1, self.tokens_starts)
-        context = np.where(before == START, texts, np.maximum(c_before, c_pair))
+        context = np.maximum(c_before, c_pair)
         alone = (c_word + 1) / (self.tokens + self.distinct + 1)
-        prob = PAIR_WEIGHT * np.divide(c_pair, context, out=np.zeros(len(h)), where=context > 0) + (1 - PAIR_WEIGHT) * alone
-        return np.bincount(owner, np.log10(prob), n)
-
-    tokens_starts = 1
+        prob = PAIR_WEIGHT * np.divide(c_pair, context, out=np.zeros(len(pair)), where=context > 0) + (1 - PAIR_WEIGHT) * alone
+        return np.bincount(owner, np.log10(prob), n).astype(float), exact
 
 
-def _score(shared, main: bool, schema: pa.Schema):
+def _score(shared, main: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, WordHasher()
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                b = batch.slice(i, 500)
+            for i in range(0, batch.num_rows, SCORED):
+                b = batch.slice(i, SCORED)
                 hs = [np.append(memo.of(ascii_words(t.as_py())), END) for t in b.column(1)]
                 n = np.asarray([len(h) for h in hs])
                 h, owner = np.concatenate(hs), np.repeat(np.arange(len(hs)), n)
-                score = model.logp(h, owner, len(hs))
-                cols = [b.column(0), pa.array(score)]
+                score, count = model.logp(h, owner, len(hs))
+                cols, names = [b.column(0), pa.array(score)], ["rid", "score"]
                 if main:
-                    count = model.exact(h)
                     known = count >= 0
                     rare_h, rare_n = [], []
                     for x, k in zip(np.split(h, np.cumsum(n)[:-1]), np.split(known, np.cumsum(n)[:-1])):
@@ -267,24 +285,25 @@ def _score(shared, main: bool, schema: pa.Schema):
                     cols += [
                         pa.array(n, pa.int64()),
                         pa.array(np.bincount(owner, known & (count > 0), len(hs)).astype(np.int64)),
-                        pa.array(np.bincount(owner, np.where(known, np.log10(np.maximum(count, 0) + 1.0), 0.0), len(hs))),
+                        pa.array(np.bincount(owner, np.where(known, np.log10(np.maximum(count, 0) + 1.0), 0.0), len(hs)).astype(float)),
                         pa.array(rare_h, pa.list_(pa.int64())),
                         pa.array(rare_n, pa.list_(pa.int32())),
+                        b.column(2),
+                        b.column(3),
                     ]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+                    names += ["n_tokens", "known", "base", "rare_h", "rare_n", "doc_id", "held_out"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return run
+    return tidy(run)
 
 
 _MAIN = "rid bigint, score double, n_tokens bigint, known bigint, base double, rare_h array<bigint>, rare_n array<int>"
-_MAIN_A = pa.schema([("rid", pa.int64()), ("score", pa.float64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
-                     ("rare_h", pa.list_(pa.int64())), ("rare_n", pa.list_(pa.int32()))])
-_PART_A = pa.schema([("rid", pa.int64()), ("score", pa.float64())])
 
 
 def _load(filters: DataFrame, kind: int, ranges: int, lo: int, hi: int) -> Ranges:
-    t = filters.where((F.col("kind") == kind) & F.col("r").between(lo, hi)).select("r", "bits", "data").toArrow()
-    return Ranges(ranges, {r: (b, d) for r, b, d in zip(*[t.column(c).to_pylist() for c in ("r", "bits", "data")])})
+    """A part of the filter on the driver, filled range by range into one array."""
+    mine = filters.where((F.col("kind") == kind) & F.col("r").between(lo, hi))
+    return Ranges(ranges, mine.select("r", "blocks").collect(), ((x.r, x.data) for x in mine.select("r", "data").toLocalIterator()))
 
 
 def score(
@@ -301,6 +320,7 @@ def score(
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     d = only(docs, id_col, text_col).toDF("doc_id", "text")
+    kind = d.dtypes[0][1]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     train = d.where(~held).select("text")
     size = d.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
@@ -320,22 +340,28 @@ def score(
     n_train = train.count()
     word_filter = _load(filters, 0, ranges, 0, ranges)
     # consecutive ranges of pairs, a broadcast at a time
-    shards, room = [], 0
-    for r in filters.where("kind = 1").select("r", "bits").orderBy("r").collect():
-        if not shards or room + r.bits // 8 > filter_bytes:
-            shards.append([r.r, r.r])
+    shards, room = [], 0  # of first and last range
+    for r in filters.where("kind = 1").select("r", "blocks").orderBy("r").collect():
+        if not shards or room + r.blocks * BLOCK // 8 > filter_bytes:
+            shards.append(r.r)
             room = 0
-        shards[-1][1] = r.r
-        room += r.bits // 8
-    shards = shards or [[0, 0]]
-    rows = d.select(F.monotonically_increasing_id().alias("rid"), "text")
+        room += r.blocks * BLOCK // 8
+    starts = [0, *shards[1:], ranges]
+    shards = [(a, b - 1) for a, b in zip(starts, starts[1:])]
+    rows = d.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", held.alias("held_out"))
+    if len(shards) > 1:  # the passes have to agree on the rows' numbers
+        rows = stored(rows, "texts")
     made = []
     for i, (lo, hi) in enumerate(shards):
-        model = Scorer(word_filter, _load(filters, 1, ranges, lo, hi), top, tokens, distinct, len(shards) == 1)
-        model.tokens_starts = n_train
-        shared = spark.sparkContext.broadcast(model)
-        made.append(rows.mapInArrow(_score(shared, i == 0, _MAIN_A if i == 0 else _PART_A), _MAIN if i == 0 else "rid bigint, score double"))
-    main = stored(made[0], "scores")
+        own = (lo, hi) if len(shards) > 1 else None
+        shared = spark.sparkContext.broadcast(Scorer(word_filter, _load(filters, 1, ranges, lo, hi), top, tokens, distinct, n_train, own))
+        if i == 0:
+            scored = rows.mapInArrow(_score(shared, True), f"{_MAIN}, doc_id {kind}, held_out boolean")
+        else:
+            scored = rows.select("rid", "text").mapInArrow(_score(shared, False), "rid bigint, score double")
+        made.append(stored(scored, "scores"))
+        shared.destroy()  # one part of the filter at a time
+    main = made[0]
     # words that are not broadcast: their exact counts by join, summed per document
     rare = main.select("rid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("x")).select("rid", F.col("x.rare_h").alias("h"), F.col("x.rare_n").alias("n"))
     looked = rare.join(counts.where(F.col("c") < least), "h").groupBy("rid").agg(
@@ -347,8 +373,7 @@ def score(
             more = more.unionByName(x)
         out = out.join(more.groupBy("rid").agg(F.sum("score").alias("score2")), "rid", "left").withColumn(
             "score", F.col("score") + F.coalesce("score2", F.lit(0.0)))
-    ids = d.select(F.monotonically_increasing_id().alias("rid"), "doc_id", held.alias("held_out"))
-    return out.join(ids, "rid").select(
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
