@@ -161,6 +161,38 @@ def test_keyspace(spark):
     assert seen == [[0, 4], [1, 2], [3, 4]]
 
 
+def test_reconciliation_converges(spark):
+    rng = random.Random(4)
+    kv = lambda d: frame(spark, sorted(d.items()), "key string, value string")
+    source = {f"k{i:03}": f"v{i}" for i in range(40)}
+    target = {f"k{i:03}": "stale" for i in range(20, 60)}
+    roll, sweep, t = keyvalue.Rolling(), keyvalue.Sweeper(), kv(target)
+    for step in range(8):
+        if step == 2:
+            source["k007"] = "changed"
+            roll.hint([("k007",)])
+        if step == 4:
+            source.pop(f"k{rng.randint(20, 39):03}")
+            roll.gap()
+            sweep.cursor = None
+        t = spark.createDataFrame(keyvalue.reconcile(kv(source), t, ["key"], roll, sweep, 15).collect(), "key string, value string")
+    for _ in range(4):
+        t = spark.createDataFrame(keyvalue.reconcile(kv(source), t, ["key"], roll, sweep, 15).collect(), "key string, value string")
+    assert rows(t) == rows(kv(source)) and sweep.passes >= 2 and sweep.lag(40) <= 40
+
+
+def test_registry_and_candidates(spark, tmp_path):
+    from tidewell.plans import registry
+    from tidewell.sources.catalog import candidates
+
+    assert isinstance(registry.connect(spark, {"engine": "store", "path": f"file://{tmp_path}/x"}), Store)
+    for bad in (lambda: registry.connect(spark, {"engine": "nope"}), lambda: registry.register("store", print)):
+        with pytest.raises(ValueError):
+            bad()
+    listing = frame(spark, [("public", "t", False), ("public", "t_p1", True), ("mysql", "user", False), ("pg_temp_3", "x", None), ("app", "u", None)], "namespace string, name string, is_partition boolean")
+    assert sorted(r.name for r in candidates(listing).collect()) == ["t", "u"]
+
+
 def test_keyspace_source(spark, tmp_path):
     from tidewell.sources.keyspace import KeyspaceSource, pack_record
 

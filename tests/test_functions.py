@@ -130,5 +130,8 @@ def test_small_things():
     assert scalars.fnv1a64("a") == 0xAF63DC4C8601EC8C - (1 << 64)
     assert [scalars.backoff_ms(i) for i in range(6)] == [200, 400, 800, 1600, 3200, 5000]
     assert scalars.host_port("[::1]:7", 1) == ("::1", 7) and scalars.host_port("h", 6379) == ("h", 6379)
+    assert scalars.tls_option("verify-full", "pg") == {"sslmode": "verify-full"} and scalars.tls_option("allow", "mysql") == {"sslMode": "PREFERRED"}
+    with pytest.raises(ValueError):
+        scalars.tls_option("maybe", "pg")
     assert scalars.csv_list(" a, ,b") == ["a", "b"]
     assert scalars.quote_name("a`b", "", "c") == "`a``b`.`c`"

@@ -144,6 +144,21 @@ def host_port(text: str, default: int) -> tuple[str, int]:
     return (host.strip("[]"), int(port)) if sep and port.isdigit() else (text.strip().strip("[]"), default)
 
 
+# TLS modes by the options of two public JDBC drivers.
+TLS_MODES = {
+    "disable": ("disable", "DISABLED"), "allow": ("allow", "PREFERRED"), "prefer": ("prefer", "PREFERRED"), "require": ("require", "REQUIRED"),
+    "verify-ca": ("verify-ca", "VERIFY_CA"), "verify-full": ("verify-full", "VERIFY_IDENTITY"),
+}
+
+
+def tls_option(mode: str, dialect: str) -> dict[str, str]:
+    """The JDBC option for a TLS mode; an unknown mode raises."""
+    if mode not in TLS_MODES:
+        raise ValueError(f"unknown TLS mode {mode!r}")
+    pg, my = TLS_MODES[mode]
+    return {"sslmode": pg} if dialect == "pg" else {"sslMode": my}
+
+
 def csv_list(text: str) -> list[str]:
     return [x.strip() for x in text.split(",") if x.strip()]
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.globs import selected
 from tidewell.functions.scalars import live_ttl
-from tidewell.operators.changes import missing
+from tidewell.operators.changes import missing, reread, upsert
 from tidewell.operators.chunks import page_after
 
 # What a time to live of a key says.
@@ -79,3 +79,33 @@ class Rolling:
             rest = spark.createDataFrame(page, kinds)
             out = out.unionByName(rest) if out is not None else rest
         return out.distinct()
+
+
+@dataclass
+class Sweeper:
+    """A pass over the target's keys in pages; what the source lacks is to be deleted."""
+
+    cursor: tuple | None = None
+    passes: int = 0
+    seen: int = 0
+
+    def step(self, target: DataFrame, source: DataFrame, key: list[str], most: int) -> DataFrame:
+        page = [tuple(r) for r in page_after(target.select(*key), key, self.cursor, most).collect()]
+        self.seen += len(page)
+        if len(page) < most:  # the pass is over
+            self.cursor, self.passes, self.seen = None, self.passes + 1, 0
+        else:
+            self.cursor = page[-1]
+        kinds = ", ".join(f"{k} {target.schema[k].dataType.simpleString()}" for k in key)
+        return missing(target.sparkSession.createDataFrame(page, kinds), source, key)
+
+    def lag(self, target_keys: int) -> int:
+        """Keys the current pass has not looked at yet."""
+        return max(0, target_keys - self.seen)
+
+
+def reconcile(source: DataFrame, target: DataFrame, key: list[str], rolling: Rolling, sweeper: Sweeper, most: int) -> DataFrame:
+    """The target after one pass: some keys re-read from the source, some of its own checked for deletion."""
+    fresh = reread(source, rolling.step(source, key, most), key).select(*target.columns)
+    gone = sweeper.step(target, source, key, most)
+    return upsert(target.join(gone, key, "left_anti"), fresh, key)

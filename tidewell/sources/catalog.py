@@ -60,6 +60,17 @@ class TableMeta:
         return next(c for c in self.columns if c.name == name)
 
 
+# Namespaces that belong to the databases themselves.
+SYSTEM = {"pg_catalog", "information_schema", "pg_toast", "mysql", "performance_schema", "sys"}
+
+
+def candidates(listing: DataFrame) -> DataFrame:
+    """Tables of users in a catalog listing (namespace, name, is_partition): no system
+    namespaces, and no partitions, which their parent stands for."""
+    own = ~F.col("namespace").isin(*SYSTEM) & ~F.col("namespace").startswith("pg_temp")
+    return listing.where(own & ~F.coalesce("is_partition", F.lit(False)))
+
+
 @dataclass
 class Catalog:
     tables: dict[str, TableMeta] = field(default_factory=dict)
