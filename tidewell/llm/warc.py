@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import only, shared_dir, stored
+from tidewell.llm._common import drop_at_exit, only, shared_dir, stored, tidy
 
 MIN_REVISIT = 100
 SHARD_BYTES = 32_000_000
@@ -135,7 +135,7 @@ def _write(base: str, roll: int, level: int, date: str):
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done)], schema=_MANIFEST)
 
-    return run
+    return tidy(run)
 
 
 def read_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -181,7 +181,7 @@ def _read(base: str):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000]), _ROWS.types)], schema=_ROWS)
 
-    return run
+    return tidy(run)
 
 
 def shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
@@ -248,7 +248,7 @@ def write(
     fs, root = _fs(path)
     fs.create_dir(posixpath.join(root, "_temporary"))
     made = (
-        rows.repartition(len(bounds) + 1, "shard")
+        rows.repartitionById(len(bounds) + 1, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", "page_id", F.col("refers_to").isNull(), "digest", "url")
         .mapInArrow(_write(path, roll_bytes, level, date), MANIFEST)
     )
@@ -282,4 +282,5 @@ def round_trip(pages: DataFrame, **options) -> DataFrame:
     """Write to the shared folder and read everything back."""
     path = shared_dir(pages.sparkSession, "warc")
     write(pages, path, **options)
+    drop_at_exit(pages.sparkSession, path)
     return read(pages.sparkSession, path)
