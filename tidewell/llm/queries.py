@@ -68,6 +68,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made}
 
 
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 800)) AS m
+  FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)),
+s AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM s)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+c AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM r),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS e,
+  string_agg(substr(h, CAST(2 * c.e + 1 AS BIGINT), CAST(2 * (a - c.e) AS BIGINT)), '' ORDER BY a) AS kept
+  FROM c JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(k.e, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+#: For pages of the supplied layout, whose article element is the main text.
+OP5_SQL = """
+WITH a AS (
+  SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), ''), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+  t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM b"""
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -121,6 +146,8 @@ FROM p LEFT JOIN f USING (payload_digest)"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_suffix_dedup": OP2_SQL,
+        "op5_html_extraction": OP5_SQL,
         "op7_license_scan": licenses.scan_sql(),
         "op8_decontamination": OP8_SQL,
         "op9_minhash_dedup": OP9_SQL,
