@@ -13,7 +13,8 @@ The item side is broadcast in blocks of at most ``BLOCK_WORDS`` words, which
 bounds what a worker holds whatever the size of the benchmark; every document
 meets every block, and the marks of several blocks are united per document.
 
-Cases: null or empty texts have no words; repeated items or documents count as
+Cases: null or empty texts have no words; an item without an id marks words but
+is not listed; repeated items or documents count as
 often as they stand there (an item id once); ties of hashes keep the rightmost;
 an empty item table marks nothing; columns beside id and text are ignored.
 """
@@ -62,7 +63,8 @@ class Items:
             if at == len(self.ids):
                 self.ids.append(set())
                 self.words.append(h)
-            self.ids[at].add(item)
+            if item is not None:
+                self.ids[at].add(item)
         for at, h in enumerate(self.words):
             n = k if len(h) >= window else len(h)
             g = grams(h, n)
