@@ -241,7 +241,7 @@ def test_marginals_are_exact():
     for labels in itertools.product((0, 1), repeat=n):
         w = math.exp(sum(own[i][0] * labels[i] for i in range(n)))
         for i in range(1, n):
-            p = m.table[own[i][1]][labels[t.parent[i]]]
+            p = m.table[own[t.parent[i]][1], own[i][1]][labels[t.parent[i]]]
             w *= p if labels[i] else 1 - p
         for i in range(n):
             weight[i, labels[i]] += w

@@ -3,11 +3,11 @@
 A page becomes a tree of block elements and text blocks.  Every node has a
 label, content or not; evidence about a node comes from its tag, the words in
 its class, id and role, and a text block's length, links and punctuation;
-a potential couples the labels of parent and child by the child's kind.
+a potential couples the labels of parent and child by the kinds of both.
 Sum-product messages run from the leaves to the root and back, which yields
 exact marginals; text blocks whose marginal favours content are the text.
 
-The model (P(child | parent, kind) and P(label | evidence) / P(label | kind))
+The model (P(child | parent, kinds) and P(label | evidence) / P(label | kind))
 is trained from labelled pages.  :func:`labelled_pages` makes a bounded set of
 ``TRAINING_PAGES`` from a fixed seed; callers may pass their own.
 
@@ -36,6 +36,8 @@ from tidewell.llm._common import only, tidy
 
 TRAINING_PAGES = 1200
 SEED = 20240607
+#: Weight of P(child | parent, kind of child) against counts by both kinds.
+BACKOFF = 5.0
 
 # Elements by how they lay out, from the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -175,7 +177,7 @@ def parse(page: str) -> Tree:
         if tag == "body" and len(stack) == 1:
             stack.append(add("body", _hints(attrs)))
             continue
-        if t.tag[stack[-1]] == "p" and tag != "p-":
+        if t.tag[stack[-1]] == "p":
             stack.pop()
         if tag in CLOSES:
             names, until = CLOSES[tag]
@@ -210,9 +212,10 @@ def _dynamic(text: str, linked: int) -> list[str]:
 
 
 class Model:
-    """Evidence weights and the parent-child table P(child | parent, kind of child)."""
+    """Evidence weights and the parent-child table: P(child is content | the parent
+    is not, or is), by the kinds of both."""
 
-    def __init__(self, weights: dict[str, float], bias: float, prior: dict[str, float], table: dict[str, tuple[float, float]]):
+    def __init__(self, weights: dict[str, float], bias: float, prior: dict[str, float], table: dict[tuple[str, str], tuple[float, float]]):
         self.weights, self.bias, self.prior, self.table = weights, bias, prior, table
         self.known: dict = {}
 
@@ -236,12 +239,12 @@ class Model:
             up[i] += sum(w.get(f, 0.0) for f in _dynamic(s, linked))
         exp, log = math.exp, math.log
         for i in range(n - 1, 0, -1):
-            a, b = self.table[kinds[i]]  # P(child = 1 | parent = 0), (.. = 1)
+            a, b = self.table[kinds[t.parent[i]], kinds[i]]
             x = exp(max(-30.0, min(30.0, up[i])))
             message[i] = log((1 - b + b * x) / (1 - a + a * x))
             up[t.parent[i]] += message[i]
         for i in range(1, n):  # up now becomes the belief
-            a, b = self.table[kinds[i]]
+            a, b = self.table[kinds[t.parent[i]], kinds[i]]
             q = exp(max(-30.0, min(30.0, up[t.parent[i]] - message[i])))
             up[i] += log((a + b * q) / (1 - a + (1 - b) * q))
         return up
@@ -263,11 +266,13 @@ def _labels(t: Tree) -> list[int]:
     return [int(2 * y >= a and a > 0) for y, a in zip(yes, all_)]
 
 
-def train(trees: list[Tree], steps: int = 300) -> Model:
+def train(trees: list[Tree], steps: int = 600) -> Model:
     """Logistic evidence by gradient descent, transition counts, label priors."""
     index: dict[str, int] = {}
     rows, cols, y, kinds = [], [], [], []
-    trans: dict[str, list[list[float]]] = {k: [[1.0, 1.0], [1.0, 1.0]] for k in {*KINDS.values(), "div"}}
+    every = sorted({*KINDS.values(), "div"})
+    trans = {k: np.ones((2, 2)) for k in every}  # by the child's kind
+    pairs = {(p, k): np.zeros((2, 2)) for p in every for k in every}
     for t in trees:
         label = _labels(t)
         for i in range(len(t.tag)):
@@ -279,17 +284,21 @@ def train(trees: list[Tree], steps: int = 300) -> Model:
             y.append(label[i])
             kinds.append(kind)
             if i:
-                trans[kind][label[t.parent[i]]][label[i]] += 1
+                trans[kind][label[t.parent[i]], label[i]] += 1
+                pairs[KINDS.get(t.tag[t.parent[i]], "div"), kind][label[t.parent[i]], label[i]] += 1
     r, c, y_ = np.asarray(rows), np.asarray(cols), np.asarray(y, float)
     w, b, seen = np.zeros(len(index)), 0.0, np.bincount(c, minlength=len(index)) + 1.0
     for _ in range(steps):
         z = np.bincount(r, w[c], len(y_)) + b
         e = 1 / (1 + np.exp(-z)) - y_
-        w -= 1.5 * (np.bincount(c, e[r], len(index)) / seen + 0.002 * w)
+        w -= 1.5 * (np.bincount(c, e[r], len(index)) / seen + 0.0005 * w)
         b -= 1.5 * e.mean()
     k = np.asarray(kinds)
     prior = {x: math.log((y_[k == x].sum() + 1) / ((1 - y_[k == x]).sum() + 1)) for x in set(kinds)}
-    table = {x: tuple(row[1] / sum(row) for row in m) for x, m in trans.items()}
+    table = {}
+    for (p, x), m in pairs.items():  # pairs that were seen little lean on the child's kind alone
+        m = m + BACKOFF * trans[x] / trans[x].sum(1, keepdims=True)
+        table[p, x] = tuple((m[:, 1] / m.sum(1)).tolist())
     return Model({x: float(w[i]) for x, i in index.items()}, float(b), prior, table)
 
 
@@ -348,23 +357,24 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[Tree]:
     out = []
     for _ in range(n):
         body = [block() for _ in range(pick([1, 2, 3, 5, 8, 12, 20]))]
-        if rng.random() < 0.8:
-            body.insert(0, f"<h1>{yes(words(1, 10))}</h1>")
+        title = f"<h1>{yes(words(1, 10))}</h1>"
+        if (kind := rng.random()) < 0.7:
+            body.insert(0, title)
+        elif kind < 0.85:
+            body.insert(0, f"<header>{title}{maybe(f'<p {attr('share')}>{words(1, 4)}</p>')}</header>")
         for _ in range(pick([0, 0, 1, 2])):
             body.insert(rng.randint(0, len(body)), junk[pick(["ad", "share", "side", "notice", "comment", "form"])]())
-        if rng.random() < 0.15:
-            body.insert(0, f"<header>{yes(words(2, 8))}</header>" if False else "")
         inner = "".join(body)
         shell = rng.random()
         if shell < 0.5:
             inner = f"<article{maybe(' ' + attr('main'), 0.3)}>{inner}</article>"
         elif shell < 0.65:
             inner = f"<main>{inner}</main>"
-        elif shell < 0.9:
+        elif shell < 0.88:
             inner = f"<{(x := pick(['div', 'section']))} {attr('main')}>{inner}</{x}>"
-        else:
+        elif shell < 0.96:
             inner = f"<div>{inner}</div>"
-        if rng.random() < 0.4:
+        if shell < 0.96 and rng.random() < 0.4:  # the rest stands in the body itself
             inner = f"<{(x := pick(['main', 'div', 'section']))}{maybe(' ' + attr('main'))}>{inner}{maybe(junk['comment']())}</{x}>"
         before = [junk[k]() for k in ("notice", "head", "nav", "ad", "form", "nav", "notice") if rng.random() < 0.4]
         after = [junk[k]() for k in ("share", "comment", "side", "ad", "form", "nav", "notice", "foot") if rng.random() < 0.4]
