@@ -323,8 +323,8 @@ def score(
     kind = d.dtypes[0][1]
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_fold, F.lit(False))
     train = d.where(~held).select("text")
-    size = d.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
-    ranges = 1 << max(0, ((size[0] or 0) // range_bytes).bit_length())
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << (size // range_bytes).bit_length()
     lists = train.mapInArrow(_gather(ranges), "kind int, r bigint, list binary")
     grouped = lists.groupBy("kind", "r")
     filters = stored(grouped.applyInArrow(lambda t: _reduce(t.column("kind")[0].as_py() == 0)(t), _FILTER), "filter")
