@@ -53,6 +53,9 @@ class Syncer:
     _by_name: dict[str, TableMeta] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
+        sc = self.spark.sparkContext
+        if sc.getCheckpointDir() is None:  # spark.checkpoint.dir is unset, as in tests
+            sc.setCheckpointDir(f"{self.state.root}/checkpoints")
         self.skipped = [t.name for t in self.tables if not t.key]  # keyless tables are left out, with a warning
         self.tables = [t for t in self.tables if t.key]
         self._by_name = {t.name: t for t in self.tables}

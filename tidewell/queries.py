@@ -541,8 +541,6 @@ def stream_drain_converges(spark, d):
     """A store that drains deltas until none are left equals its source."""
     x = _Data(spark, d)
     base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     root = f"{base}/sync-{uuid.uuid4().hex}"
     source, target = Store(spark, f"{root}/source"), Store(spark, f"{root}/target")
     source.commit({"customer": x.table("customer")})
