@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
+import re
 import shutil
 import sys
 import tempfile
@@ -121,10 +122,14 @@ def alnum_words(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the cluster names none (tests), the session's warehouse serves.
+    Where the cluster names none (tests), the session's warehouse serves.  The
+    path names its file system, which need not be the workers' default.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    full = re.sub("^file:/(?!/)", "file:///", full)
+    return f"{full.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
