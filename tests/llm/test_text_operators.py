@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tests.llm.edge import TEXTS, documents, empty
 from tidewell.llm import licenses, lm, packing, quality, secrets
-from tidewell.llm._common import WordHasher
 
 SF = "/root/testdata/sf0.001"
 
@@ -109,7 +108,7 @@ def test_pieces_of_long_texts():
     t = "abc déf. " * 300_000
     whole = quality.keys(quality.symbols(t))
     assert (np.concatenate([k for k, _ in quality.key_runs([t])]) == whole).all()
-    assert quality.base("a b c d e a b c d e", WordHasher())[4] == 10
+    assert quality.base("a b c d e a b c d e")[4] == 10
 
 
 # -- secrets ---------------------------------------------------------------------------------
