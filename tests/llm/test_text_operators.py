@@ -2,6 +2,7 @@
 
 import collections
 import math
+import textwrap
 import zlib
 
 import numpy as np
@@ -248,3 +249,35 @@ def test_license_matches_sql(spark):
     got = licenses.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("doc_id", "n_sentences", "n_known", "sentence_ids", "licenses", "license_class")
     assert sorted(map(tuple, got.collect())) == want
     assert got.where(F.col("n_known") > 0).count() > 0
+
+
+def test_license_wrapped_texts(spark):
+    def wrapped(mark, *paragraphs):
+        return "\n".join(mark.rstrip() if not x else mark + x for p in paragraphs for x in [*textwrap.wrap(p, 60), ""])
+
+    one = lambda *names: [licenses.SENTENCES[n][0] + "." for n in names]
+    mit = ["MIT License", "Copyright (c) 2020 Me", *one("MITPerm", "MITNotice", "MITAsIs")]
+    bsd2 = one("BSDPre", "BSDSource", "BSDBinary")
+    gpl = " ".join(one("GPLFree")), " ".join(one("GPLHope", "GPLSee"))
+    apache = (
+        'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\n'
+        "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n"
+        "Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\n"
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\n"
+        "limitations under the License.\n"
+    )
+    marks = ["", "# ", " * ", "// ", ";; "]
+    want, texts = {}, []
+    for m in marks:
+        for licence, text in [
+            ("MIT", wrapped(m, *mit)), ("BSD-2-Clause", wrapped(m, *bsd2)), ("BSD-3-Clause", wrapped(m, *bsd2, *one("BSDEndorse")).replace("\n", "\r\n")),
+            ("ISC", wrapped(m, *one("ISCPerm"))), ("GPL-3.0-or-later", wrapped(m, *gpl)), ("Apache-2.0", "\n".join(m + x for x in apache.split("\n"))),
+            ("MIT,CC-BY-4.0", f"{m}Released under the MIT License\n{m}Licensed under CC BY 4.0\n{m}more words"),
+        ]:
+            want[len(texts)] = licence
+            texts.append((len(texts), text))
+    rows = {r.doc_id: r for r in licenses.scan(documents(spark, texts=texts)).collect()}
+    assert {i: r.licenses for i, r in rows.items()} == want
+    assert all(r.sentence_ids == "ApacheRef2,ApacheFile,ApacheCopy,AsIsBasis,ApacheSee" for i, r in rows.items() if want[i] == "Apache-2.0")
+    broken = [(1, "Permission to use.\nReleased under the\n\nMIT License"), (2, "Released under the.\nMIT License"), (3, "not Released under\nthe MIT License"), (4, "Released under\nthe MIT License or so")]
+    assert {r.licenses for r in licenses.scan(documents(spark, texts=broken)).collect()} == {""}

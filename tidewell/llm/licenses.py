@@ -5,6 +5,11 @@ identifier; the sequence of identifiers is matched against ordered rules, the
 first rule that fits consuming the sentences it matched.  Sentences between
 known ones that are not known themselves do not break a rule.
 
+Every line is a sentence of its own, but a known sentence is also found where
+it is wrapped over several lines, behind comment marks or not; it then counts as
+one sentence.  Stops and blank lines end it (a blank line before an address
+does not), and it begins and ends where a line or sentence does.
+
 No shuffle and no Python: one projection over the scan, so the cost follows
 the text and a hot source or copied document changes nothing.
 
@@ -14,6 +19,8 @@ occurs several times counts each time; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,6 +162,10 @@ COPYLEFT = ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-late
 #: Where one sentence ends: stops before white space, and every line end.
 ENDS = r"[.!?;:]+[ \t\r\f]+|\n"
 NOT_WORD = r"[^a-z0-9\n]+"
+#: A line end that a known sentence may run across, with the marks that begin the next line.
+WRAP = r"(?<![.!?;:])\n[^a-z0-9\n]*+(?:(?=[a-z0-9])|(?:\n[^a-z0-9\n]*+){1,3}(?=https?://))"
+#: Stands for such a line end; no lowered text contains it.
+SOFT = "N"
 
 
 def _normal(s: str) -> list[str]:
@@ -187,9 +198,25 @@ def _rules(table=None, rules=None) -> list[tuple[str, list[str]]]:
     return out
 
 
-def sentences(text: Column) -> Column:
-    one_line = F.regexp_replace(F.lower(text), ENDS, "\n")
-    return F.filter(F.split(F.regexp_replace(one_line, NOT_WORD, " "), " ?\n ?"), lambda s: F.trim(s) != "")
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _unwrap(text: Column, names: list[str]) -> Column:
+    """Known sentences that run across soft line ends, each put on one line, the longest first."""
+    known = F.array(*[F.lit(x) for x in sorted(names, key=len, reverse=True)])
+    words = lambda x: F.replace(x, F.lit(" "), F.lit(f"(?: ?{SOFT}| )"))
+    pattern = lambda x: F.concat(F.lit(f"(^|[\n{SOFT}]) ?"), words(x), F.lit(f" ?(?=[\n{SOFT}]|\\z)"))
+    put = lambda t, x: F.regexp_replace(t, pattern(x), F.concat(F.lit("$1"), x))
+    join = lambda t, j: F.aggregate(F.filter(known, lambda x: F.contains(j, x)), t, put)
+    return _let(text, lambda t: _let(F.regexp_replace(t, f" ?{SOFT}", " "), lambda j: join(t, j)))
+
+
+def sentences(text: Column, names: list[str]) -> Column:
+    lines = F.regexp_replace(F.regexp_replace(F.lower(text), WRAP, SOFT), ENDS, "\n")
+    words = F.regexp_replace(lines, NOT_WORD.replace("^", f"^{SOFT}"), " ")
+    return F.filter(F.split(_unwrap(words, names), f" ?[\n{SOFT}] ?"), lambda s: F.trim(s) != "")
 
 
 def scan(
@@ -206,7 +233,7 @@ def scan(
     names = [s for s, _ in known]
     d = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
-        F.coalesce(sentences(F.col(f"`{text_col}`")), F.array().cast("array<string>")).alias("s"),
+        F.coalesce(sentences(F.col(f"`{text_col}`"), names), F.array().cast("array<string>")).alias("s"),
     ).select(
         "doc_id",
         F.size("s").cast("bigint").alias("n_sentences"),
