@@ -105,6 +105,23 @@ def test_quality_rejects_junk_and_keeps_clean(spark):
     assert kept.get((0, False), 0) >= kept.get((0, True), 0) * 0.5
 
 
+def test_one_long_text_does_not_set_the_bands(spark):
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeioulnrst"), rng.integers(2, 9))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words, n))
+    short = [(i, text(int(rng.integers(12, 60)))) for i in range(300)]
+    spark_docs = lambda rows: spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, lang string")
+    kept = lambda rows: {r.doc_id for r in quality.judge(spark_docs(rows)).where("kept").collect()}
+    alone, beside = kept(short), kept([*short, (1000, text(400))])
+    assert len(alone) >= 295 and len(beside - {1000}) >= 295 and len(alone ^ (beside - {1000})) <= 2
+    rows = [("en", 400, 1 + x / 10) for x in rng.normal(size=300).tolist()]
+    scores = spark.createDataFrame([*rows, ("en", 5000, 0.9), ("en", 0, 9.0)], "lang string, n bigint, ppl double")
+    p = np.asarray([*[r[2] for r in rows], 0.9])
+    scale = np.sqrt(1 + quality.SHORT / np.asarray([*[400] * 300, 5000]))
+    median, mad = quality._bands(scores)["en"]
+    assert abs(median - np.median(p)) < 0.01 and abs(mad - 1.4826 * np.median(np.abs(p - np.median(p)) / scale)) < 0.002
+
+
 def test_pieces_of_long_texts():
     t = "abc déf. " * 300_000
     whole = quality.keys(quality.symbols(t))
