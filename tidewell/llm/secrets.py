@@ -9,7 +9,8 @@ callers may pass their own.
 Documents are scanned alone and whole: one narrow pass and no shuffle.
 
 Cases: null and empty texts have no candidates; the same secret twice is two
-findings; overlapping candidates keep the one that starts first; a null path
+findings; each rule is matched by itself, overlapping candidates are all judged
+(those of one span by the first rule) and the accepted ones united; a null path
 counts as unknown; repeated rows are scanned each; extra columns are ignored
 (or, in :func:`redact`, kept as they are).
 """
@@ -51,7 +52,8 @@ RULES = {
     "assignment": r"(?i:(?<![A-Za-z])(?:" + "|".join(KEYWORDS.split()) + r")[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"'`]?)(?P<value>[^\s\"'`<>,;]{6,})",
     "random_word": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])",
 }
-_CANDIDATE = re.compile("|".join(f"(?P<{k}>{v})" for k, v in RULES.items()), re.S)
+_RULES = {k: re.compile(v, re.S) for k, v in RULES.items()}
+_PLACE = {k: i for i, k in enumerate(RULES)}
 
 # Words for dictionary coverage and character transitions.
 DICTIONARY = (
@@ -148,11 +150,11 @@ def features(value: str, rule: str, before: str, after: str, path: str | None) -
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) in code points, in text order."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        a, b = m.span("value") if m["value"] is not None else m.span()
-        out.append((a, b, m.lastgroup if m["value"] is None else "assignment"))
-    return out
+    out: dict[tuple[int, int], str] = {}
+    for rule, pattern in _RULES.items():
+        for m in pattern.finditer(text):
+            out.setdefault(m.span("value") if rule == "assignment" else m.span(), rule)
+    return [(a, b, rule) for (a, b), rule in sorted(out.items())]
 
 
 def labelled_findings(n: int = TRAINING_FINDINGS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -226,12 +228,24 @@ def findings(text: str, path: str | None, forest: Forest) -> list[tuple[int, int
     return [(a, b, rule, round(float(s), 9)) for (a, b, rule), s in zip(found, forest.score(np.asarray(x)))]
 
 
-def without(text: str, found: list[tuple[int, int, str, float]], threshold: float) -> str:
-    out, at = [], 0
+def united(found: list[tuple[int, int, str, float]], threshold: float) -> list[tuple[int, int, str]]:
+    """Accepted spans, overlapping ones as one under the first of their rules."""
+    out: list[tuple[int, int, str]] = []
     for a, b, rule, s in found:
-        if s >= threshold:
-            out += [text[at:a], f"[{rule.upper()}]"]
-            at = b
+        if s < threshold:
+            continue
+        if out and a < out[-1][1]:
+            a, end, other = out.pop()
+            b, rule = max(b, end), min(rule, other, key=_PLACE.__getitem__)
+        out.append((a, b, rule))
+    return out
+
+
+def without(text: str, secrets: list[tuple[int, int, str]]) -> str:
+    out, at = [], 0
+    for a, b, rule in secrets:
+        out += [text[at:a], f"[{rule.upper()}]"]
+        at = b
     return "".join([*out, text[at:]])
 
 
@@ -246,9 +260,10 @@ def _scan(shared, threshold: float):
                 t = text.as_py() or ""
                 found = findings(t, path, shared.value)
                 n.append(len(found))
-                kept.append(sum(f[3] >= threshold for f in found))
+                secrets = united(found, threshold)
+                kept.append(len(secrets))
                 rows.append([{"start": a, "length": b - a, "rule": r, "score": s, "secret": s >= threshold} for a, b, r, s in found])
-                sha.append(hashlib.sha256(without(t, found, threshold).encode()).hexdigest())
+                sha.append(hashlib.sha256(without(t, secrets).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(kept, pa.int64()), pa.array(rows, _FOUND), pa.array(sha)],
                 names=["doc_id", "n_candidates", "n_secrets", "findings", "redacted_sha256"])
@@ -262,7 +277,7 @@ def _path(docs: DataFrame, path_col: str):
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source",
          threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
-    """Per row: doc_id, n_candidates, n_secrets, findings, redacted_sha256."""
+    """Per row: doc_id, n_candidates, n_secrets (united spans), findings (every candidate), redacted_sha256."""
     d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _path(docs, path_col).alias("path"))
     shared = d.sparkSession.sparkContext.broadcast(forest or default_forest())
     kind = only(docs, id_col).dtypes[0][1]
@@ -274,7 +289,7 @@ def _redact(shared, threshold: float, text_at: int, path_at: int, schema: pa.Sch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column(path_at).to_pylist() if path_at >= 0 else [None] * batch.num_rows
-            new = [v if not (v := t.as_py()) else without(v, findings(v, p, shared.value), threshold) for t, p in zip(batch.column(text_at), paths)]
+            new = [v if not (v := t.as_py()) else without(v, united(findings(v, p, shared.value), threshold)) for t, p in zip(batch.column(text_at), paths)]
             cols = list(batch.columns)
             cols[text_at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
