@@ -165,6 +165,14 @@ def test_secrets_inside_other_candidates(spark):
     assert secrets.united(spans, 0.5) == [(0, 12, "aws_key_id"), (12, 20, "random_word")]
 
 
+def test_long_candidates_are_judged_whole():
+    rng = np.random.default_rng(6)
+    key = "".join(rng.choice(list("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 400))
+    text = "token = " + "/".join(rng.choice(secrets.DICTIONARY, 40)) + "/" + key
+    found = secrets.findings(text, None, secrets.default_forest())
+    assert key not in secrets.without(text, secrets.united(found, secrets.THRESHOLD))
+
+
 def test_secret_edges(spark):
     docs = documents(spark)
     assert secrets.scan(docs).count() == len(TEXTS) and secrets.redact(docs).count() == len(TEXTS)

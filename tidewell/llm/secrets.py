@@ -119,7 +119,7 @@ def coverage(value: str) -> float:
 
 def features(value: str, rule: str, before: str, after: str, path: str | None) -> list[float]:
     n = max(1, len(value))
-    v = value[:200]
+    v = value
     kinds = [_kind(c) for c in v]
     share = Counter(kinds)
     count = Counter(v)
