@@ -277,36 +277,240 @@ def test_cyclic_copy_and_keyless_skip(spark, tmp_path):
     assert s.skipped == ["log"] and rows(s.targets["a"].read("emp")) == rows(e)
 
 
-def test_copy_resumes_behind_its_watermark(spark, tmp_path):
-    data = [(i, f"n{i}") for i in range(50)]
-    s = syncer(spark, tmp_path, {"t": (frame(spark, data), {"key": ["id"]})}, chunk_rows=10, chunks_per_commit=2)
+def _crash_on(n):
     calls = []
 
     def crash(new):
         calls.append(1)
-        if len(calls) == 2:
+        if len(calls) == n:
             raise RuntimeError("lost")
 
+    return crash
+
+
+def test_copy_resumes_behind_its_watermark(spark, tmp_path):
+    data = [(i, f"n{i}") for i in range(50)]
+    s = syncer(spark, tmp_path, {"t": (frame(spark, data), {"key": ["id"]})}, chunk_rows=10, chunks_per_commit=2)
     with pytest.raises(RuntimeError):
-        s.copy("a", s.parts[0], hook=crash)
+        s.copy("a", s.parts[0], hook=_crash_on(2))
     assert s.targets["a"].read("t").count() == 20
-    # an append whose watermark was lost is cleared before it is copied again
+    # rows beyond the watermark are cleared before they are copied again
     s.targets["a"].append("t", frame(spark, [(20, "stale"), (49, "stale")]))
     assert s.copy("a", s.parts[0]) == 3
     assert rows(s.targets["a"].read("t")) == rows(frame(spark, data))
     assert s.copy("a", s.parts[0]) == 0
 
 
-def test_metrics_and_server(spark):
+@pytest.mark.parametrize("change", ["delete", "insert", "both"])
+def test_copy_resumes_by_key_whatever_happened_below(spark, tmp_path, change):
+    data = {i * 10: f"n{i}" for i in range(100)}
+    s = syncer(spark, tmp_path, {"t": (frame(spark, list(data.items())), {"key": ["id"]})}, chunk_rows=10, chunks_per_commit=2, drain_batch=1000)
+    s.install_capture()
+    with pytest.raises(RuntimeError):
+        s.copy("a", s.parts[0], hook=_crash_on(3))
+    assert s.progress().first().watermark == ["400"]
+    if change != "insert":
+        for i in range(0, 100, 10):
+            del data[i]
+    if change != "delete":
+        data |= {i: "new" for i in range(201, 210)}
+    s.change("t", frame(spark, list(data.items())))
+    s.bring_up()
+    assert s.targets["a"].read("t").where("id >= 400").count() == 60
+    s.drain_until_empty("a")
+    assert rows(s.targets["a"].read("t")) == rows(frame(spark, list(data.items())))
+
+
+def test_keys_as_text_come_back(spark):
+    df = spark.sql("""SELECT timestamp_micros(id * 1000001 + 7) AS t, cast(id AS double) / 3 AS d, cast(concat('k', id) AS binary) AS b, date_add(DATE'2024-01-01', cast(id AS int)) AS e,
+                      cast(id AS decimal(20, 5)) / 7 AS n FROM range(40)""")
+    for key in ("t", "d", "b", "e", "n"):
+        plan = chunks.plan(df, [key], 9)
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kathmandu")
+        try:
+            assert [chunks.scan(df, [key], c).count() for c in plan] == [9, 9, 9, 9, 4], key
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_blocks_cover_a_table_without_a_key(spark, tmp_path):
+    spark.range(0, 1000, 1, 4).selectExpr("id % 3 AS a", "id AS b").write.parquet(f"{tmp_path}/log")
+    df = spark.read.parquet(f"{tmp_path}/log")
+    plan = chunks.block_plan(df)
+    assert len(plan) == 4
+    edges = [None, *plan[1:], None]
+    parts = [chunks.block_scan(df, a, b) for a, b in zip(edges, edges[1:])]
+    assert parts[0].columns == ["a", "b"] and sorted(r.b for p in parts for r in p.collect()) == list(range(1000))
+    assert all(p.count() == 250 for p in parts)
+
+
+def test_operator_reseed_survives_passes_and_restarts(spark, tmp_path):
+    data = [(i, f"n{i}") for i in range(20)]
+    tables = {"t": (frame(spark, data), {"key": ["id"]})}
+    s = syncer(spark, tmp_path, tables)
+    s.bring_up()
+    s.targets["a"].commit({"t": s.targets["a"].read("t").where("id < 5")})
+    s.flag_reseed("a", ["t"])
+    s.touch("a")
+    s.bring_up()  # a restart
+    assert s.needs_reseed("a") == ["t"]
+    s.run_pass()
+    assert rows(s.targets["a"].read("t")) == rows(frame(spark, data)) and s.needs_reseed("a") == []
+    assert s.telemetry.values[("reseed_total", (("sync", "s"), ("target", "a")))] == 1
+
+
+def test_idle_passes_write_nothing(spark, tmp_path):
+    s = syncer(spark, tmp_path, {"t": (frame(spark, [(1, "a")]), {"key": ["id"]})})
+    s.bring_up()
+    s.run_pass()
+    files = lambda: sorted(str(p) for p in tmp_path.rglob("*") if p.is_file() and "checkpoints" not in str(p))
+    before = files()
+    s.run_pass()
+    s.run_pass()
+    assert files() == before
+    s.clock = lambda: NOW + timedelta(seconds=61)  # after a while cursors are refreshed
+    s.run_pass()
+    assert s.cursors().first().updated_at == NOW + timedelta(seconds=61)
+
+
+def test_writers_lose_nothing(spark, tmp_path):
+    from tidewell.sources.store import Conflict
+
+    a, b = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    a.commit({"t": spark.range(2), "u": spark.range(1)})
+    # an append of another writer between reading and committing stays
+    a.commit(append={"t": spark.range(2, 3)}, hook=lambda new: b.append("t", spark.range(3, 5)))
+    assert rows(a.read("t")) == [(i,) for i in range(5)]
+    # a rewrite of what changed meanwhile is refused, one of another table is not
+    base = a.manifest()
+    b.append("t", spark.range(5, 6))
+    with pytest.raises(Conflict):
+        a.commit({"t": spark.range(1)}, base=base)
+    a.commit({"u": spark.range(7)}, base=base)
+    assert a.read("t").count() == 6 and a.read("u").count() == 7
+
+    def racing(notes):
+        if "x" not in notes:
+            b.note(lambda n: {**n, "x": 1, "y": 1})
+        return {**notes, "x": notes.get("x", 0) + 1}
+
+    a.note(racing)
+    assert a.notes("x") == 2 and a.notes("y") == 1
+
+
+def test_many_writers_at_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def work(i):
+        store = Store(spark, f"file://{tmp_path}/s")
+        for _ in range(5):
+            store.note(lambda n: {**n, "count": n.get("count", 0) + 1})
+            store.log("l", {"v": i})
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(work, range(4)))
+    s = Store(spark, f"file://{tmp_path}/s")
+    assert s.notes("count") == 20
+    assert sorted(r.id for r in s.read_log("l", "id bigint, v int").collect()) == list(range(1, 21))
+    assert s.fold_log("l", "id bigint, v int", most=5) and s.log("l", {"v": 9}) == 21
+    assert sorted(r.id for r in s.read_log("l", "id bigint, v int").collect()) == list(range(1, 22))
+
+
+def test_lock_lease_and_takeover(spark, tmp_path):
+    now = {"t": 1000.0}
+    one, two = Store(spark, f"file://{tmp_path}/s"), Store(spark, f"file://{tmp_path}/s")
+    with one.lock("x", lease=60, clock=lambda: now["t"]) as held:
+        with pytest.raises(Locked), two.lock("x", clock=lambda: now["t"]):
+            pass
+        now["t"] += 61  # the first has died, as far as anyone can tell
+        with two.lock("x", clock=lambda: now["t"]) as mine:
+            assert mine() and not held()
+            with pytest.raises(Locked), one.lock("x", clock=lambda: now["t"]):
+                pass
+    with one.lock("x", clock=lambda: now["t"]):
+        pass
+
+
+def test_loop_goes_on_after_errors(spark, tmp_path):
+    s = syncer(spark, tmp_path, {"t": (frame(spark, [(1, "a")]), {"key": ["id"]})})
+    s.bring_up()
+    s.retain = lambda: 1 / 0
+    s.reseed = lambda target: 1 / 0
+    turns = iter(range(2))
+    s.run(stop=lambda: next(turns, None) is None, interval=0)
+    assert {r.event for r in s.events().collect()} >= {"retention_error", "reseed_error"}
+    assert s.telemetry.values[("errors_total", (("sync", "s"), ("category", "reseed")))] == 2
+
+
+def test_unreachable_targets_are_told_once_and_recover(spark, tmp_path):
+    s = syncer(spark, tmp_path, {"t": (frame(spark, [(1, "a")]), {"key": ["id"]})})
+    s.bring_up()
+    real, reach = s.drain, s._reachable
+    s.drain, s._reachable = lambda t, c: 1 / 0, lambda t: False
+    s.run_pass()
+    s.run_pass()
+    assert 'target_up{sync="s",target="a"} 0' in s.telemetry.text()
+    s.drain, s._reachable = real, reach
+    s.run_pass()
+    assert [r.event for r in s.events().orderBy("id").collect()][-2:] == ["target.unreachable", "target.recovered"]
+    assert 'target_up{sync="s",target="a"} 1' in s.telemetry.text()
+
+
+def test_keyspaces_converge_across_restarts(spark, tmp_path):
+    kv = "key string, value string"
+    source = {f"k{i:03}": f"v{i}" for i in range(40)}
+    make = lambda first: {"kv": (frame(spark, sorted(first.items()), kv), {"key": ["key"], "storage": "keyspace"})}
+    s = syncer(spark, tmp_path, make(source), drain_batch=15)
+    s.targets["a"].commit({"kv": frame(spark, [(f"k{i:03}", "stale") for i in range(20, 60)], kv)})
+    s.bring_up()
+    for step in range(8):
+        if step == 2:
+            source["k001"] = "changed"
+            s.source.commit({"kv": frame(spark, sorted(source.items()), kv)})
+            s.hint("a", "kv", [("k001",)])
+            s.run_pass()
+            assert s.targets["a"].read("kv").where("key = 'k001'").first().value == "changed"
+        s = Syncer(spark, "s", s.source, s.state, s.targets, s.tables, clock=lambda: NOW, drain_batch=15)  # a restart
+        s.run_pass()
+    assert rows(s.targets["a"].read("kv")) == rows(frame(spark, sorted(source.items()), kv))
+    assert s.state.notes("scans")["a/kv"]["passes"] >= 2
+
+
+def test_hints_beyond_their_bound_are_a_gap(monkeypatch):
+    monkeypatch.setattr(keyvalue, "MOST_HINTS", 3)
+    r = keyvalue.Rolling(cursor=("x",))
+    r.hint([("a",), ("b",), ("a",)])
+    assert r.priority == [("a",), ("b",)] and r.cursor == ("x",)
+    r.hint([("c",), ("d",)])
+    assert r.priority == [] and r.cursor is None
+
+
+def test_cyclic_parts_are_copied_once(spark, tmp_path):
+    key = ForeignKey("f", "emp", ("up",), "emp", ("id",))
+    s = syncer(spark, tmp_path, {"emp": (frame(spark, [(1, 2), (2, 1)], "id int, up int"), {"key": ["id"], "foreign_keys": [key]})})
+    s.bring_up()
+    n = s.targets["a"].manifest()["commit"]
+    s.bring_up()
+    assert s.targets["a"].manifest()["commit"] == n
+
+
+def test_metrics_and_server(spark, tmp_path):
     import urllib.request
 
     from tidewell.plans import status
 
-    delta = frame(spark, [(1, 1, NOW - timedelta(seconds=60))], "delta_id bigint, k int, rc_at timestamp")
-    track = frame(spark, [], "target string, delta_id bigint, consumed_at timestamp")
-    b = retention.backlog(delta, track, ["a"], NOW, 10)
-    text = status.exposition(status.gauges(b, retention.proximity(b, max_age=120), "t"))
-    assert 'retention_proximity{target="a",table="t"} 0.5' in text and "# TYPE backlog_rows gauge" in text
+    s = syncer(spark, tmp_path, {"t": (frame(spark, [(1, "a"), (2, "b")]), {"key": ["id"]})}, max_age=120)
+    s.bring_up()
+    s.change("t", frame(spark, [(1, "b"), (2, "b")]))
+    s.clock = lambda: NOW + timedelta(seconds=60)
+    s.gauges("a")
+    text = s.telemetry.text()
+    for line in ('delta_backlog_rows{sync="s",target="a",table="t"} 1', 'replication_lag_seconds{sync="s",target="a",table="t"} 60', "# TYPE delta_backlog_rows gauge",
+                 'rows_copied_total{sync="s",table="t"} 2', 'table_phase_info{sync="s",table="t",phase="streaming"} 1'):
+        assert line in text
+    assert "retention.cap_approaching" in {r.event for r in s.events().collect()}
+    s.run_pass()
+    assert 'apply_batch_seconds_count{sync="s",target="a"} 1' in s.telemetry.text() and 'delta_purged_total{sync="s",table="t"} 1' in s.telemetry.text()
     server = status.serve(0, lambda: text, lambda: [{"table": "t"}])
     get = lambda p: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{p}").read().decode()
     assert get("/metrics") == text and get("/status") == '[{"table": "t"}]' and get("/healthz") == "ok"
@@ -330,7 +534,7 @@ def test_target_beyond_cap_is_copied_again(spark, tmp_path):
     assert s.delta(s.tables[0]).count() == 0  # no longer pinned
     assert s.reseed("down") == 1 and s.needs_reseed("down") == []
     assert rows(s.targets["down"].read("t")) == rows(s.source.read("t"))
-    assert {r.event for r in s.state.read("events").collect()} >= {"retention_exceeded", "reseed_started", "reseed_done"}
+    assert {r.event for r in s.events().collect()} >= {"target.needs_reseed", "reseed_started", "table.cutover_to_streaming"}
 
 
 def test_pass_survives_a_failing_target(spark, tmp_path):
@@ -423,7 +627,30 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["run", *args], spark) == 0
     assert main(["validate", *args], spark) == 0
     assert main(["status", *args], spark) == 0
-    assert main(["reseed", *args], spark) == 0
+    target = Store(spark, f"file://{tmp_path}/target_a")
+    target.commit({"t": target.read("t").limit(0)})
+    assert main(["reseed", *args], spark) == 0 and main(["run", *args], spark) == 0
+    assert rows(target.read("t")) == [(1, "a")]
     assert main(["capture-remove", *args], spark) == 0
-    assert rows(Store(spark, f"file://{tmp_path}/target_a").read("t")) == [(1, "a")]
     assert "captured 1 tables, skipped 1" in capsys.readouterr().out
+
+
+def test_commands_by_configuration(spark, tmp_path):
+    from tidewell.cli import main
+
+    Store(spark, f"file://{tmp_path}/src").commit({"t": frame(spark, [(1, "a")]), "t_audit": frame(spark, [(1, "x")])})
+    (tmp_path / "tables.yml").write_text("t: {key: [id]}\nt_audit: {key: [id]}\n")
+    (tmp_path / "c.yml").write_text(f"""
+state_store: {{engine: store, path: "file://{tmp_path}/state"}}
+sources: {{s: {{engine: store, path: "file://{tmp_path}/src", tables: "{tmp_path}/tables.yml"}}}}
+targets: {{x: {{engine: store, path: "file://{tmp_path}/x"}}}}
+syncs:
+  - {{name: one, source: s, targets: [x], exclude: ["*_audit"], tuning: {{drain_interval: 1ms, chunk_rows: 5}}}}
+""")
+    args = ["--config", str(tmp_path / "c.yml")]
+    assert main(["run", *args, "--port", "0"], spark) == 0 and main(["status", *args], spark) == 0
+    x = Store(spark, f"file://{tmp_path}/x")
+    assert x.exists("t") and not x.exists("t_audit")
+    assert main(["run", *args, "--sync", "nope"], spark) == 2 and main(["run", "--config", "/nowhere"], spark) == 2
+    with Store(spark, f"file://{tmp_path}/state").lock("one"):
+        assert main(["run", *args], spark) == 1

@@ -24,8 +24,15 @@ class Chunk:
 
 
 def numbered(df: DataFrame, key: list[str]) -> DataFrame:
-    """Keys with their rank from 1 in key order (column ``rn``), without a global sort task."""
-    parts = df.select(*key).repartitionByRange(*[F.col(k).asc() for k in key]).withColumn("__p", F.spark_partition_id())
+    """Keys with their rank from 1 in key order (column ``rn``), without a global sort task.
+
+    The range-partitioned keys are checkpointed with the number of their
+    partition, so that counts and ranks see one and the same split.
+    """
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        df.sparkSession.sparkContext.setCheckpointDir(base)
+    parts = df.select(*key).repartitionByRange(*[F.col(k).asc() for k in key]).withColumn("__p", F.spark_partition_id()).checkpoint()
     sizes = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)))
     local = parts.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(*key)))
@@ -33,30 +40,50 @@ def numbered(df: DataFrame, key: list[str]) -> DataFrame:
         *key, (F.col("before") + F.col("__r")).alias("rn"))
 
 
+def key_text(df: DataFrame, key: list[str]) -> list[Column]:
+    """Key values as text that :func:`in_chunk` reads back exactly, whatever the session's time zone."""
+    kind = lambda k: df.schema[k].dataType.typeName()
+    one = lambda k: F.hex(k) if kind(k) == "binary" else F.unix_micros(k).cast("string") if kind(k) == "timestamp" else F.col(k).cast("string")
+    return [one(k).alias(k) for k in key]
+
+
 def boundaries(df: DataFrame, key: list[str], rows: int) -> DataFrame:
     """Keys that start a chunk, without the first: every ``rows``-th."""
     return numbered(df, key).where((F.col("rn") > 1) & ((F.col("rn") - 1) % rows == 0)).orderBy("rn")
 
 
 def plan(df: DataFrame, key: list[str], rows: int, most: int = 1_000_000) -> list[Chunk]:
-    """The chunks of a table; the first and last are unbounded, an empty table is one chunk."""
-    cut = [tuple(r[k] for k in key) for r in boundaries(df, key, rows).limit(most).collect()]
+    """The chunks of a table; the first and last are unbounded, an empty table is one chunk.
+
+    Bounds are texts of :func:`key_text`.
+    """
+    cut = [tuple(r) for r in boundaries(df, key, rows).limit(most).select(*key_text(df, key)).collect()]
     edges = [None, *cut, None]
     return [Chunk(a, b) for a, b in zip(edges, edges[1:])]
 
 
+def _value(df: DataFrame, column: str, v) -> Column:
+    """A bound as a literal of the key's type: a text of :func:`key_text`, or a plain value."""
+    kind = df.schema[column].dataType
+    if isinstance(v, str) and kind.typeName() == "binary":
+        return F.unhex(F.lit(v))
+    if isinstance(v, str) and kind.typeName() == "timestamp":
+        return F.timestamp_micros(F.lit(v).cast("bigint"))
+    return F.lit(v).cast(kind)
+
+
 def _typed(df: DataFrame, key: list[str], bound: tuple) -> Column:
-    return F.struct(*[F.lit(v).cast(df.schema[k].dataType).alias(k) for k, v in zip(key, bound)])
+    return F.struct(*[_value(df, k, v).alias(k) for k, v in zip(key, bound)])
 
 
 def in_chunk(df: DataFrame, key: list[str], chunk: Chunk) -> Column:
     tests = [F.lit(True)]
     row = F.struct(*key)
     if chunk.lo is not None:
-        first = F.lit(chunk.lo[0]).cast(df.schema[key[0]].dataType)
+        first = _value(df, key[0], chunk.lo[0])
         tests += [F.col(key[0]) >= first, row >= _typed(df, key, chunk.lo)]
     if chunk.hi is not None:
-        first = F.lit(chunk.hi[0]).cast(df.schema[key[0]].dataType)
+        first = _value(df, key[0], chunk.hi[0])
         tests += [F.col(key[0]) <= first, row < _typed(df, key, chunk.hi)]
     return reduce(lambda a, b: a & b, tests)
 
@@ -76,12 +103,28 @@ def chunk_counts(df: DataFrame, key: list[str], rows: int) -> DataFrame:
 
 
 def blocks(df: DataFrame) -> DataFrame:
-    """Physical ranges for tables without a key: one per file block."""
+    """Physical ranges for tables without a key: every row with its file and the file block it lies in."""
     return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
 
 
+def block_plan(df: DataFrame) -> list[tuple[str, int]]:
+    """The (file, block) ranges of a table in order: one row for each split reaches the driver."""
+    return [tuple(r) for r in blocks(df).select("__file", "__block").distinct().orderBy("__file", "__block").collect()]
+
+
+def block_scan(df: DataFrame, lo: tuple[str, int] | None, hi: tuple[str, int] | None) -> DataFrame:
+    """Rows whose block is in [lo, hi); files outside are not read."""
+    b, at = blocks(df), F.struct("__file", "__block")
+    edge = lambda x: F.struct(F.lit(x[0]).alias("__file"), F.lit(x[1]).cast("bigint").alias("__block"))
+    if lo is not None:
+        b = b.where((F.col("__file") >= lo[0]) & (at >= edge(lo)))
+    if hi is not None:
+        b = b.where((F.col("__file") <= hi[0]) & (at < edge(hi)))
+    return b.drop("__file", "__block")
+
+
 def page_after(df: DataFrame, key: list[str], last: tuple | None, n: int) -> DataFrame:
     """The next n rows in key order after a cursor: a bounded rolling scan."""
     if last is not None:
-        df = df.where((F.col(key[0]) >= F.lit(last[0]).cast(df.schema[key[0]].dataType)) & (F.struct(*key) > _typed(df, key, last)))
+        df = df.where((F.col(key[0]) >= _value(df, key[0], last[0])) & (F.struct(*key) > _typed(df, key, last)))
     return df.orderBy(*key).limit(n)

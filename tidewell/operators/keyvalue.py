@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from tidewell.functions.globs import selected
 from tidewell.functions.scalars import live_ttl
 from tidewell.operators.changes import missing, reread, upsert
-from tidewell.operators.chunks import page_after
+from tidewell.operators.chunks import key_text, page_after
+
+#: Hinted keys that are held; beyond that the hints count as lost, and everything is looked at again.
+MOST_HINTS = 100_000
 
 # What a time to live of a key says.
 GONE, FOREVER = -2, -1
@@ -52,6 +55,14 @@ def sweep(target_keys: DataFrame, source: DataFrame, key: list[str]) -> DataFram
     return missing(target_keys, source, key)
 
 
+def end_of(page: DataFrame, key: list[str], most: int) -> tuple | None:
+    """The last key of a full page, as text; None where the scan came to its end."""
+    n, last = page.agg(F.count(F.lit(1)), F.max(F.struct(*key)).alias("k")).first()
+    if n < most:
+        return None
+    return tuple(page.sparkSession.createDataFrame([last], page.schema).select(*key_text(page, key)).first())
+
+
 @dataclass
 class Rolling:
     """Where a rolling scan stands; ``None`` starts over.  Priority keys go first, each once."""
@@ -61,6 +72,8 @@ class Rolling:
 
     def hint(self, keys: list[tuple]) -> None:
         self.priority = list(dict.fromkeys([*self.priority, *keys]))
+        if len(self.priority) > MOST_HINTS:
+            self.gap()
 
     def gap(self) -> None:
         """Hints were lost: everything has to be looked at again."""
@@ -74,9 +87,9 @@ class Rolling:
         kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in key)
         out = spark.createDataFrame(first, kinds) if first else None
         if most > len(first):
-            page = [tuple(r) for r in page_after(df.select(*key), key, self.cursor, most - len(first)).collect()]
-            self.cursor = page[-1] if len(page) == most - len(first) else None
-            rest = spark.createDataFrame(page, kinds)
+            page = page_after(df.select(*key), key, self.cursor, most - len(first)).checkpoint()
+            at = end_of(page, key, most - len(first))
+            self.cursor, rest = at, page
             out = out.unionByName(rest) if out is not None else rest
         return out.distinct()
 
@@ -90,14 +103,13 @@ class Sweeper:
     seen: int = 0
 
     def step(self, target: DataFrame, source: DataFrame, key: list[str], most: int) -> DataFrame:
-        page = [tuple(r) for r in page_after(target.select(*key), key, self.cursor, most).collect()]
-        self.seen += len(page)
-        if len(page) < most:  # the pass is over
-            self.cursor, self.passes, self.seen = None, self.passes + 1, 0
+        page = page_after(target.select(*key), key, self.cursor, most).checkpoint()
+        self.cursor = end_of(page, key, most)
+        if self.cursor is None:  # the pass is over
+            self.passes, self.seen = self.passes + 1, 0
         else:
-            self.cursor = page[-1]
-        kinds = ", ".join(f"{k} {target.schema[k].dataType.simpleString()}" for k in key)
-        return missing(target.sparkSession.createDataFrame(page, kinds), source, key)
+            self.seen += most
+        return missing(page, source, key)
 
     def lag(self, target_keys: int) -> int:
         """Keys the current pass has not looked at yet."""

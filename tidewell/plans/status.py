@@ -7,15 +7,94 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.scalars import age_seconds
 
-# Phases, event names and metric names that operators see.
+# Phases, event names, metric names with their kinds and labels that operators see.
 PHASES = ["initial_copy", "streaming"]
-EVENTS = ["copy_started", "copy_done", "cutover", "reseed_triggered", "reseed_started", "reseed_done", "retention_exceeded", "drain_error", "target_unreachable"]
+EVENTS = ["target.unreachable", "target.recovered", "target.needs_reseed", "retention.cap_approaching", "preflight.blocked", "capture.installed",
+          "capture.removed", "table.cutover_to_streaming"]
 METRICS = {
-    "rows_copied_total": "counter", "chunks_copied_total": "counter", "deltas_consumed_total": "counter", "apply_errors_total": "counter",
-    "deltas_purged_total": "counter", "reseeds_total": "counter", "drain_seconds": "histogram", "apply_seconds": "histogram",
-    "backlog_rows": "gauge", "backlog_bytes": "gauge", "backlog_oldest_age_seconds": "gauge", "retention_proximity": "gauge",
-    "target_reachable": "gauge", "sweep_lag_keys": "gauge", "throughput_deltas_per_second": "gauge",
+    "rows_copied_total": ("counter", ["sync", "table"]),
+    "initial_copy_rows_target": ("gauge", ["sync", "table"]),
+    "throughput_rows_per_second": ("gauge", ["sync"]),
+    "replication_lag_seconds": ("gauge", ["sync", "target", "table"]),
+    "delta_backlog_rows": ("gauge", ["sync", "target", "table"]),
+    "delta_backlog_bytes": ("gauge", ["sync", "target", "table"]),
+    "delta_oldest_unconsumed_age_seconds": ("gauge", ["sync", "target", "table"]),
+    "delta_purged_total": ("counter", ["sync", "table"]),
+    "reseed_total": ("counter", ["sync", "target"]),
+    "target_up": ("gauge", ["sync", "target"]),
+    "apply_batch_seconds": ("histogram", ["sync", "target"]),
+    "errors_total": ("counter", ["sync", "category"]),
+    "table_phase_info": ("gauge", ["sync", "table", "phase"]),
+    "delete_reconciliation_lag_seconds": ("gauge", ["sync", "target", "table"]),
+    "deletes_reconciled_total": ("counter", ["sync", "target", "table"]),
 }
+#: Upper ends of the latency histogram's buckets, in seconds.
+BUCKETS = [0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60]
+
+
+def histogram(df: DataFrame, seconds: str) -> DataFrame:
+    """Cumulative bucket counts (le, n) of a column of durations; the last bucket, null, has all."""
+    counts = df.agg(F.array(*[F.struct(F.lit(float(b)).alias("le"), F.count_if(F.col(seconds) <= b).alias("n")) for b in BUCKETS],
+                            F.struct(F.lit(None).cast("double").alias("le"), F.count(seconds).alias("n"))).alias("x"))
+    return counts.select(F.explode("x").alias("x")).select("x.*")
+
+
+class Telemetry:
+    """The metrics of a sync, kept by the process that runs it."""
+
+    def __init__(self, sync: str):
+        self.sync = sync
+        self.values: dict[tuple[str, tuple], float] = {}
+        self.observed: dict[str, list[float]] = {}  # by target: a count for each bucket, of all, and the sum
+
+    def _key(self, name: str, labels: dict) -> tuple[str, tuple]:
+        known = METRICS[name][1]
+        return name, tuple((k, str({"sync": self.sync, **labels}[k])) for k in known)
+
+    def set(self, name: str, value: float, **labels) -> None:
+        self.values[self._key(name, labels)] = float(value)
+
+    def add(self, name: str, value: float, **labels) -> None:
+        k = self._key(name, labels)
+        self.values[k] = self.values.get(k, 0.0) + value
+
+    def copied(self, table: str, rows: int, seconds: float) -> None:
+        self.add("rows_copied_total", rows, table=table)
+        self.set("throughput_rows_per_second", throughput(rows, seconds))
+
+    def purged(self, table: str, rows: int) -> None:
+        self.add("delta_purged_total", rows, table=table)
+
+    def reseeded(self, target: str) -> None:
+        self.add("reseed_total", 1, target=target)
+
+    def batch(self, target: str, seconds: float, rows: int) -> None:
+        seen = self.observed.setdefault(target, [0.0] * (len(BUCKETS) + 2))
+        for i, b in enumerate(BUCKETS):
+            seen[i] += seconds <= b
+        seen[-2] += 1
+        seen[-1] += seconds
+        if rows:
+            self.set("throughput_rows_per_second", throughput(rows, seconds))
+
+    def phase(self, table: str, phase: str) -> None:
+        for p in PHASES:
+            self.set("table_phase_info", float(p == phase), table=table, phase=p)
+
+    def text(self) -> str:
+        """Metrics as text for a scraper."""
+        out = []
+        for name, (kind, _) in METRICS.items():
+            rows = sorted((k[1], v) for k, v in self.values.items() if k[0] == name)
+            if kind == "histogram":
+                for target, seen in sorted(self.observed.items()):
+                    label = f'sync="{self.sync}",target="{target}"'
+                    rows += [(f'{name}_bucket{{{label},le="{b:g}"}}', n) for b, n in zip(BUCKETS, seen)]
+                    rows += [(f'{name}_bucket{{{label},le="+Inf"}}', seen[-2]), (f"{name}_sum{{{label}}}", seen[-1]), (f"{name}_count{{{label}}}", seen[-2])]
+            if rows:
+                out.append(f"# TYPE {name} {kind}")
+                out += [f"{k} {v:g}" if isinstance(k, str) else f"{name}{{{','.join(f'{a}={chr(34)}{b}{chr(34)}' for a, b in k)}}} {v:g}" for k, v in rows]
+        return "\n".join([*out, ""])
 
 
 def report(progress: DataFrame, cursors: DataFrame, track: DataFrame, now) -> DataFrame:
@@ -43,26 +122,6 @@ def throughput(consumed: int, seconds: float) -> float:
     return consumed / seconds if seconds > 0 else 0.0
 
 
-def gauges(backlogs: DataFrame, proximities: DataFrame, table: str) -> DataFrame:
-    """Backlog metrics of a table's targets, one row per metric and target."""
-    b = backlogs.join(proximities, "target")
-    row = lambda name, c: F.struct(F.lit(name).alias("metric"), F.col("target"), F.lit(table).alias("table_name"), F.col(c).cast("double").alias("value"))
-    return b.select(F.explode(F.array(
-        row("backlog_rows", "rows"), row("backlog_bytes", "bytes"), row("backlog_oldest_age_seconds", "oldest_age"), row("retention_proximity", "proximity"))).alias("x")).select("x.*")
-
-
-def exposition(metrics: DataFrame) -> str:
-    """Metrics as text for a scraper."""
-    rows = sorted(metrics.collect(), key=lambda r: (r.metric, r.target, r.table_name))
-    out, last = [], None
-    for r in rows:
-        if r.metric != last:
-            out.append(f"# TYPE {r.metric} {METRICS[r.metric]}")
-            last = r.metric
-        out.append(f'{r.metric}{{target="{r.target}",table="{r.table_name}"}} {r.value:g}')
-    return "\n".join([*out, ""])
-
-
 def serve(port: int, metrics, report_rows, healthy=lambda: True):
     """A small HTTP server with /metrics, /status and /healthz; the arguments are functions."""
     import json
