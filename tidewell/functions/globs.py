@@ -13,11 +13,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The very end: a dollar sign would let a last line end pass.
+END = r"(?![\s\S])"
+
+
 def table_glob_regex(pattern: str) -> str:
     if not pattern:
         raise ValueError("an empty pattern selects nothing; leave it out")
     body = "".join({"*": ".*", "?": "."}.get(c) or _literal(c) for c in pattern)
-    return f"^(?s:{body})$"
+    return f"^(?s:{body}){END}"
 
 
 def _literal(c: str) -> str:
@@ -43,7 +47,7 @@ def key_glob_regex(pattern: str) -> str:
         else:
             out.append(_literal(c))
         i += 1
-    return f"^(?s:{''.join(out)})$"
+    return f"^(?s:{''.join(out)}){END}"
 
 
 def _key_class(p: str, i: int) -> tuple[str, int]:

@@ -154,6 +154,28 @@ def my_level(source: Column, target: Column) -> Column:
     return F.when(s["raw"] == t["raw"], "identical").when(fam == t["family"], same).otherwise(cross)
 
 
+# What a risky change may lose, by the family of the target.
+LOSES = {
+    "integer": "range or fraction", "numeric": "digits", "float": "precision", "text": "length", "timestamp": "fractional seconds or the zone",
+    "timestamptz": "fractional seconds, or assumes a zone", "time": "fractional seconds or the zone", "timetz": "fractional seconds, or assumes a zone", "date": "the time of day",
+    "int": "sign, range or fraction", "decimal": "digits", "bit": "range", "char": "length", "binary": "length", "blob": "length",
+    "datetime": "fractional seconds", "year": "month and day", "enum": "members", "set": "members",
+}
+
+
+def reason(source: Column, target: Column, level: Column, parse=pg_parse) -> Column:
+    """Why a pair has its level, in words; empty for equal types."""
+    s, t = parse(source), parse(target)
+    to = F.concat(source, F.lit(" to "), target)
+    loses = F.coalesce(_map(LOSES)[t["family"]], F.lit("what the other type does not know"))
+    return (
+        F.when(level == "identical", "")
+        .when(level == "widening", F.concat(to, F.lit(": every value fits")))
+        .when(level == "risky", F.concat(to, F.lit(" may lose "), loses))
+        .otherwise(F.concat(to, F.lit(": "), s["family"], F.lit(" values are no "), t["family"], F.lit(" values")))
+    )
+
+
 def charset_level(source: Column, target: Column) -> Column:
     """Character set change; an unknown side counts as no change."""
     fold = lambda c: F.when(F.lower(c) == "utf8", "utf8mb3").otherwise(F.lower(F.coalesce(c, F.lit(""))))

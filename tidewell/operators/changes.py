@@ -94,7 +94,7 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: Key) -> DataFrame:
 
 
 def capture(before: DataFrame, after: DataFrame, key: Key, first_id: int, now) -> DataFrame:
-    """Deltas of two snapshots: numbered in key order within range partitions, so ids follow without one big sort task."""
+    """Deltas of two snapshots, numbered from ``first_id`` on; ids ascend but leave gaps and follow no order of keys."""
     d = snapshot_diff(before, after, key).withColumnsRenamed({k: f"k{i}" for i, k in enumerate(key, 1)})
     return d.withColumn("delta_id", F.monotonically_increasing_id() + F.lit(first_id)).withColumn("rc_at", F.lit(now).cast("timestamp"))
 
@@ -116,6 +116,25 @@ def orphans(child: DataFrame, parent: DataFrame, child_cols: Key, parent_cols: K
     return child.where(full).join(p, on, "left_anti")
 
 
+def orphan_counts(edges: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """(edge, n_orphans) of single-column references: (name, child, column, parent, column).
+
+    Every child is read once, whatever number of references it has: its keys
+    are counted per reference before anything is shuffled, and one join with
+    the parents' keys settles all references.
+    """
+    by_child: dict[int, tuple[DataFrame, list]] = {}
+    for name, child, c, parent, _ in edges:
+        by_child.setdefault(id(child), (child, []))[1].append(F.struct(F.lit(name).alias("edge"), F.col(c).cast("string").alias("k")))
+    every = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    keys = every([child.select(F.explode(F.array(*entries)).alias("x")).select("x.*") for child, entries in by_child.values()])
+    keys = keys.where("k is not null").groupBy("edge", "k").agg(F.count(F.lit(1)).alias("n"))
+    known = every([parent.select(F.lit(name).alias("edge"), F.col(c).cast("string").alias("k")) for name, _, _, parent, c in edges])
+    found = keys.join(known, ["edge", "k"], "left_anti").groupBy("edge").agg(F.sum("n").alias("n_orphans"))
+    names = keys.sparkSession.createDataFrame([(e[0],) for e in edges], "edge string")
+    return names.join(found, "edge", "left").select("edge", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
+
+
 def nulled(rows: DataFrame, columns: Key) -> DataFrame:
     """First pass of a cyclic load: references left out."""
     return rows.withColumns({c: F.lit(None).cast(rows.schema[c].dataType) for c in columns})

@@ -55,8 +55,10 @@ def boundaries(df: DataFrame, key: list[str], rows: int) -> DataFrame:
 def plan(df: DataFrame, key: list[str], rows: int, most: int = 1_000_000) -> list[Chunk]:
     """The chunks of a table; the first and last are unbounded, an empty table is one chunk.
 
-    Bounds are texts of :func:`key_text`.
+    Bounds are texts of :func:`key_text`.  A table of one chunk is only counted.
     """
+    if df.count() <= rows:
+        return [Chunk(None, None)]
     cut = [tuple(r) for r in boundaries(df, key, rows).limit(most).select(*key_text(df, key)).collect()]
     edges = [None, *cut, None]
     return [Chunk(a, b) for a, b in zip(edges, edges[1:])]

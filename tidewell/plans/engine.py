@@ -239,18 +239,15 @@ class Syncer:
         store, staged = self.targets[target], {}
         if mode == "direct" and all((self._done(target, n) or {"done": False})["done"] for n in component.order):
             return 0
-        cyclic: dict[str, list[str]] = {}
         for e in graph.cyclic_edges(self.tables):
             if e.strategy == "blocked":
                 raise ValueError(f"{e.key.child}.{e.key.name} is on a cycle and can be neither deferred nor left null")
-            if e.strategy == "null-then-fill":
-                cyclic.setdefault(e.key.child, []).extend(e.key.child_columns)
+        cyclic = graph.fill_columns(self.tables)
         for name in component.order:
             t, key = self._by_name[name], list(self._by_name[name].key)
             rows = self.source.read(name).select(*t.transport)
             if name in cyclic:
-                cols = list(dict.fromkeys(cyclic[name]))
-                rows = changes.filled(changes.nulled(rows, cols), rows, key, cols)
+                rows = changes.filled(changes.nulled(rows, cyclic[name]), rows, key, cyclic[name])
             staged[name] = changes.upsert(store.read(name), rows, key) if mode == "merge" and store.exists(name) else rows
         check = self._validate(component, store)
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.types import charset_level, my_level, pg_level, worst
+from tidewell.functions.types import charset_level, my_level, my_parse, pg_level, pg_parse, reason, worst
 from tidewell.plans import graph
 from tidewell.sources.catalog import TableMeta, columns_frame
 
@@ -23,23 +23,27 @@ class Dialect:
     level: object
     blocks_cycles: bool
     storage: str | None = None
+    parse: object = pg_parse
     risky, bad = "type", "type"
 
 
 PG = Dialect("pg", pg_level, True)
-MYSQL = Dialect("mysql", my_level, False, storage="innodb")
+MYSQL = Dialect("mysql", my_level, False, storage="innodb", parse=my_parse)
 object.__setattr__(MYSQL, "risky", "type-risky")
 object.__setattr__(MYSQL, "bad", "type-incompatible")
 
 
-def compare_columns(source: DataFrame, target: DataFrame, level=pg_level) -> DataFrame:
-    """Columns of both sides by name: status and level, in name order."""
+def compare_columns(source: DataFrame, target: DataFrame, level=pg_level, parse=pg_parse) -> DataFrame:
+    """Columns of both sides by name: status, level and the reason for it."""
     s = source.where(~F.col("generated")).select("table_name", "column_name", F.col("data_type").alias("source_type"), F.col("charset").alias("sc"))
     t = target.select("table_name", "column_name", F.col("data_type").alias("target_type"), F.col("charset").alias("tc"), "nullable", "generated", "identity")
     both = s.join(t, ["table_name", "column_name"], "full")
     status = F.when(F.col("target_type").isNull(), "missing").when(F.col("source_type").isNull(), "extra").otherwise("matched")
-    grade = F.when(status == "matched", worst(level(F.col("source_type"), F.col("target_type")), charset_level(F.col("sc"), F.col("tc"))))
-    return both.select("table_name", "column_name", "source_type", "target_type", status.alias("status"), grade.alias("level"), "nullable", "generated", "identity")
+    types, sets = level(F.col("source_type"), F.col("target_type")), charset_level(F.col("sc"), F.col("tc"))
+    grade = F.when(status == "matched", worst(types, sets))
+    why = F.when(grade != types, F.concat("sc", F.lit(" to "), "tc", F.lit(" may lose characters"))).otherwise(reason(F.col("source_type"), F.col("target_type"), grade, parse))
+    return both.select("table_name", "column_name", "source_type", "target_type", status.alias("status"), grade.alias("level"),
+                       F.when(status == "matched", why).alias("reason"), "nullable", "generated", "identity")
 
 
 def findings(spark: SparkSession, source: list[TableMeta], target: list[TableMeta], dialect: Dialect = PG) -> DataFrame:
@@ -57,7 +61,7 @@ def findings(spark: SparkSession, source: list[TableMeta], target: list[TableMet
         elif dialect is MYSQL and any(u != t.key for u in have[t.name].unique_keys):
             rows.append(("BLOCK", t.name, "secondary-unique", "a further unique key of the target could absorb an upsert"))
     shared = [t for t in source if t.name in have]
-    cols = compare_columns(columns_frame(spark, shared), columns_frame(spark, [have[t.name] for t in shared]), dialect.level)
+    cols = compare_columns(columns_frame(spark, shared), columns_frame(spark, [have[t.name] for t in shared]), dialect.level, dialect.parse)
     # metadata: as many rows as there are columns
     for r in cols.orderBy("table_name", "column_name").collect():
         if r.status == "missing":
@@ -65,9 +69,9 @@ def findings(spark: SparkSession, source: list[TableMeta], target: list[TableMet
         elif r.status == "extra" and dialect is PG and not r.nullable and not r.generated and not r.identity:
             rows.append(("WARN", r.table_name, "extra-not-null", f"{r.column_name} exists at the target only and takes no null"))
         elif r.level == "risky":
-            rows.append(("WARN", r.table_name, dialect.risky, f"{r.column_name}: {r.source_type} to {r.target_type} may lose values"))
+            rows.append(("WARN", r.table_name, dialect.risky, f"{r.column_name}: {r.reason}"))
         elif r.level == "incompatible":
-            rows.append(("BLOCK", r.table_name, dialect.bad, f"{r.column_name}: {r.source_type} does not fit {r.target_type}"))
+            rows.append(("BLOCK", r.table_name, dialect.bad, f"{r.column_name}: {r.reason}"))
     parts = graph.components(source)
     if big := graph.giant(parts):
         rows.append(("WARN", big.tables[0], "giant-component", f"{len(big.tables)} tables hang together"))

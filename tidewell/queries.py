@@ -6,7 +6,6 @@ Change data is derived from ``events`` (deltas on customers), ``customer``
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -15,10 +14,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import globs, scalars, types
 from tidewell.operators import changes, chunks, keyvalue, retention
-from tidewell.plans import graph, preflight, status
-from tidewell.plans.engine import Syncer
-from tidewell.sources.catalog import Column, ForeignKey, TableMeta, columns_frame, introspect, key_columns, key_violations
-from tidewell.sources.store import Store
+from tidewell.plans import preflight, status
+from tidewell.sources.catalog import Column, TableMeta, key_violations
 
 NOW = datetime(2024, 1, 31)
 KEY = ["c_custkey"]
@@ -31,7 +28,7 @@ _CTE = {
     "src": "src AS (SELECT * FROM customer WHERE c_custkey % 7 <> 0)",
     "tgt": "tgt AS (SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_custkey % 11 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment "
     "FROM customer WHERE c_custkey % 5 <> 0)",
-    "dirty": "dirty AS (SELECT * FROM delta ANTI JOIN (SELECT delta_id FROM track WHERE target = 'a') USING (delta_id) ORDER BY delta_id LIMIT 1000)",
+    "dirty": "dirty AS (SELECT * FROM delta ANTI JOIN (SELECT delta_id FROM track WHERE target = 'a') USING (delta_id))",
 }
 
 
@@ -81,7 +78,7 @@ class _Data:
         c = self.table("customer").where("c_custkey % 5 <> 0")
         return c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 11 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
 
-    def dirty(self, limit: int = 1000) -> DataFrame:
+    def dirty(self, limit: int = 0) -> DataFrame:
         return changes.dirty_keys(self.delta, self.track, "a", limit)
 
 
@@ -90,12 +87,12 @@ class _Data:
 
 @query(_with("delta track", "SELECT delta_id, c_custkey, rc_op FROM delta ANTI JOIN (SELECT delta_id FROM track WHERE target = 'a') USING (delta_id)"))
 def dirty_keys(spark, d):
-    return _Data(spark, d).dirty(0).select("delta_id", "c_custkey", "rc_op")
+    return _Data(spark, d).dirty().select("delta_id", "c_custkey", "rc_op")
 
 
-@query(_with("delta track dirty", "SELECT delta_id, c_custkey, rc_op FROM dirty"))
+@query(_with("delta track dirty", "SELECT delta_id, c_custkey, rc_op FROM dirty ORDER BY delta_id LIMIT 1000"))
 def dirty_keys_limited(spark, d):
-    return _Data(spark, d).dirty().select("delta_id", "c_custkey", "rc_op")
+    return _Data(spark, d).dirty(1000).select("delta_id", "c_custkey", "rc_op")
 
 
 @query(_with("delta track dirty", "SELECT c_custkey, count(*) AS n_deltas, min(delta_id) AS first_delta, max(delta_id) AS last_delta FROM dirty GROUP BY c_custkey"))
@@ -215,18 +212,21 @@ EDGES = [
     f"SELECT '{c}.{cc}' AS edge, count(*) AS n_orphans FROM {c} WHERE {cc} IS NOT NULL AND {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} % 7 <> 0)" for c, cc, p, pc in EDGES))
 def fk_orphans_all_edges(spark, d):
     x = _Data(spark, d)
-    out = None
-    for c, cc, p, pc in EDGES:
-        one = changes.orphans(x.table(c).select(cc), x.table(p).where(F.col(pc) % 7 != 0), [cc], [pc]).agg(F.count(F.lit(1)).alias("n_orphans"))
-        one = one.select(F.lit(f"{c}.{cc}").alias("edge"), "n_orphans")
-        out = out.unionByName(one) if out is not None else one
-    return out
+    tables = {t: x.table(t) for t in {e[0] for e in EDGES} | {e[2] for e in EDGES}}
+    return changes.orphan_counts([(f"{c}.{cc}", tables[c], cc, tables[p].where(F.col(pc) % 7 != 0), pc) for c, cc, p, pc in EDGES])
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT * FROM orders WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)")
+def fk_orphan_rows(spark, d):
+    x = _Data(spark, d)
+    return changes.orphans(x.table("orders"), x.table("customer").where("c_custkey % 7 <> 0"), ["o_custkey"], ["c_custkey"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END AS o_custkey, o_orderpriority FROM orders")
 def null_then_fill(spark, d):
-    n = _Data(spark, d).table("nation")
-    return changes.filled(changes.nulled(n, ["n_regionkey"]), n, ["n_nationkey"], ["n_regionkey"])
+    """References left out of all rows, then filled in for those whose second pass has come."""
+    o = _Data(spark, d).table("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return changes.filled(changes.nulled(o, ["o_custkey"]), o.where("o_orderkey % 3 <> 0"), ["o_orderkey"], ["o_custkey"])
 
 
 # -- retention ----------------------------------------------------------------------
@@ -310,12 +310,17 @@ def _pairs(spark: SparkSession, names: list[str]) -> DataFrame:
     return spark.createDataFrame([(a, b) for a in names for b in names], "source string, target string")
 
 
-def _lookup(d: dict[str, list[str]], x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} IN ({', '.join(repr(t) for t in ts)}) THEN '{f}'" for f, ts in d.items()) + " END"
-
-
-def _case(d: dict[str, int], x: str) -> str:
-    return "CASE " + " ".join(f"WHEN {x} = '{k}' THEN {v}" for k, v in d.items()) + " END"
+# Families and sizes once more, as patterns, for the SQL alone.
+_PG_FAMILY = """CASE WHEN regexp_full_match({x}, 'smallint|integer|int|bigint|int[248]') THEN 'integer' WHEN {x} IN ('numeric', 'decimal') THEN 'numeric'
+ WHEN regexp_full_match({x}, 'real|double precision|float[48]') THEN 'float' WHEN regexp_full_match({x}, 'text|(var|bp)?char|character( varying)?') THEN 'text'
+ WHEN starts_with({x}, 'timestamp') THEN CASE WHEN regexp_matches({x}, 'with time zone|tz$') THEN 'timestamptz' ELSE 'timestamp' END
+ WHEN regexp_full_match({x}, 'time(tz| with(out)? time zone)?') THEN CASE WHEN regexp_matches({x}, 'with time zone|tz$') THEN 'timetz' ELSE 'time' END
+ WHEN {x} IN ('boolean', 'uuid', 'date', 'json', 'jsonb', 'bytea', 'interval') THEN {x} END"""
+_PG_BITS = "CASE WHEN {x} IN ('smallint', 'int2') THEN 2 WHEN {x} IN ('integer', 'int', 'int4', 'real', 'float4') THEN 4 ELSE 8 END"
+_MY_FAMILY = """CASE WHEN regexp_full_match({x}, '(tiny|small|medium|big)?int|integer') THEN 'int' WHEN {x} IN ('decimal', 'numeric', 'dec', 'fixed') THEN 'decimal'
+ WHEN {x} IN ('float', 'double', 'real') THEN 'float' WHEN regexp_full_match({x}, '(var)?char') THEN 'char' WHEN regexp_full_match({x}, '(var)?binary') THEN 'binary'
+ WHEN regexp_full_match({x}, '(tiny|medium|long)?(text|blob)') THEN {x}[-4:] WHEN {x} IN ('bit', 'date', 'time', 'datetime', 'timestamp', 'year', 'enum', 'set', 'json') THEN {x} END"""
+_MY_SIZE = "CASE WHEN starts_with({x}, 'tiny') THEN 1 WHEN starts_with({x}, 'small') THEN 2 WHEN starts_with({x}, 'medium') THEN 3 WHEN starts_with({x}, 'big') OR starts_with({x}, 'long') THEN 5 WHEN starts_with({x}, 'int') THEN 4 ELSE 2 END"
 
 
 _M = r"\(\s*([0-9]+(?:\s*,\s*[0-9]+)*)\s*\)"
@@ -333,8 +338,8 @@ def _pg_limit(p: str) -> str:
 
 @query(f"""WITH x AS (SELECT a.t AS source, b.t AS target, {_pg_side('a.t', 's')}, {_pg_side('b.t', 't')}
   FROM {_values([(t,) for t in PG_TYPES])} a(t) CROSS JOIN {_values([(t,) for t in PG_TYPES])} b(t)),
-y AS (SELECT *, coalesce({_lookup(types.PG_FAMILIES, 'sbase')}, 'other') AS sf, coalesce({_lookup(types.PG_FAMILIES, 'tbase')}, 'other') AS tf,
-  {_case(types.PG_WIDTH, 'sbase')} AS sw, {_case(types.PG_WIDTH, 'tbase')} AS tw, {_pg_limit('s')} AS sl, {_pg_limit('t')} AS tl FROM x)
+y AS (SELECT *, coalesce({_PG_FAMILY.format(x='sbase')}, 'other') AS sf, coalesce({_PG_FAMILY.format(x='tbase')}, 'other') AS tf,
+  {_PG_BITS.format(x='sbase')} AS sw, {_PG_BITS.format(x='tbase')} AS tw, {_pg_limit('s')} AS sl, {_pg_limit('t')} AS tl FROM x)
 SELECT source, target, CASE
  WHEN source = target THEN 'identical'
  WHEN tf = 'text' THEN CASE WHEN tl < 0 OR (sf = 'text' AND sl >= 0 AND sl <= tl) THEN 'widening' ELSE 'risky' END
@@ -344,8 +349,10 @@ SELECT source, target, CASE
   WHEN sf IN ('timestamp', 'timestamptz', 'time', 'timetz') THEN CASE WHEN coalesce(t0, 6) >= coalesce(s0, 6) THEN 'widening' ELSE 'risky' END
   WHEN sf = 'other' THEN 'risky' ELSE 'widening' END
  WHEN sf = 'integer' AND tf = 'numeric' THEN CASE WHEN NOT thas OR (coalesce(t1, 0) = 0 AND t0 >= 19) THEN 'widening' ELSE 'risky' END
- WHEN sf || '>' || tf IN ({', '.join(repr(p) for p in types.PG_PAIRS['widening'])}) THEN 'widening'
- WHEN sf || '>' || tf IN ({', '.join(repr(p) for p in types.PG_PAIRS['risky'])}) THEN 'risky'
+ WHEN sf || '>' || tf IN ('date>timestamp', 'json>jsonb', 'jsonb>json') THEN 'widening'
+ WHEN (sf IN ('integer', 'numeric') AND tf = 'float') OR (sf IN ('numeric', 'float') AND tf IN ('integer', 'numeric')) THEN 'risky'
+ WHEN sf IN ('date', 'timestamp', 'timestamptz') AND tf IN ('date', 'timestamp', 'timestamptz') THEN 'risky'
+ WHEN sf IN ('time', 'timetz') AND tf IN ('time', 'timetz') THEN 'risky'
  WHEN sf = 'other' OR tf = 'other' THEN 'risky' ELSE 'incompatible' END AS level FROM y""")
 def pg_type_rules(spark, d):
     return _pairs(spark, PG_TYPES).withColumn("level", types.pg_level(F.col("source"), F.col("target")))
@@ -359,8 +366,8 @@ TRY_CAST(nullif(split_part({inner}, ',', 1), '') AS INT) AS {p}0, TRY_CAST(nulli
 
 @query(f"""WITH x AS (SELECT a.t AS source, b.t AS target, {_my_side('a.t', 's')}, {_my_side('b.t', 't')}
   FROM {_values([(t,) for t in MY_TYPES])} a(t) CROSS JOIN {_values([(t,) for t in MY_TYPES])} b(t)),
-y AS (SELECT *, coalesce({_lookup(types.MY_FAMILIES, 'sbase')}, 'geometry-or-other') AS sf, coalesce({_lookup(types.MY_FAMILIES, 'tbase')}, 'geometry-or-other') AS tf,
-  {_case(types.MY_RANK, 'sbase')} AS sr, {_case(types.MY_RANK, 'tbase')} AS tr FROM x)
+y AS (SELECT *, coalesce({_MY_FAMILY.format(x='sbase')}, 'geometry-or-other') AS sf, coalesce({_MY_FAMILY.format(x='tbase')}, 'geometry-or-other') AS tf,
+  {_MY_SIZE.format(x='sbase')} AS sr, {_MY_SIZE.format(x='tbase')} AS tr FROM x)
 SELECT source, target, CASE
  WHEN source = target THEN 'identical'
  WHEN sf = tf THEN CASE
@@ -380,31 +387,39 @@ def mysql_type_rules(spark, d):
     return _pairs(spark, MY_TYPES).withColumn("level", types.my_level(F.col("source"), F.col("target")))
 
 
-_COLS = [("o", "id", "integer", "bigint"), ("o", "note", "character varying(50)", "character varying(30)"), ("o", "gone", "text", None),
-         ("o", "flag", "boolean", "integer"), ("o", "extra", None, "date"), ("p", "id", "uuid", "uuid")]
-
-
-def _tables() -> tuple[list[TableMeta], list[TableMeta]]:
-    side = lambda i: [TableMeta(n, tuple(Column(c[1], c[i]) for c in _COLS if c[0] == n and c[i]), ("id",)) for n in ("o", "p")]
-    return side(2), side(3)
-
-
-@query(f"""SELECT table_name, column_name, source_type, target_type, CASE WHEN target_type IS NULL THEN 'missing' WHEN source_type IS NULL THEN 'extra' ELSE 'matched' END AS status,
-CASE WHEN source_type = target_type THEN 'identical' WHEN column_name = 'id' THEN 'widening' WHEN column_name = 'note' THEN 'risky' WHEN column_name = 'flag' THEN 'incompatible' END AS level
-FROM {_values(_COLS)} t(table_name, column_name, source_type, target_type)""")
+@query("""WITH c AS (SELECT 't' || (o_orderkey % 50) AS table_name, 'c' || o_orderkey AS column_name,
+  CASE WHEN o_orderkey % 7 <> 0 THEN CASE o_orderkey % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'bigint' ELSE 'text' END END AS source_type,
+  CASE WHEN o_orderkey % 5 <> 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'integer' WHEN 1 THEN 'bigint' ELSE 'text' END END AS target_type FROM orders)
+SELECT *, CASE WHEN target_type IS NULL THEN 'missing' WHEN source_type IS NULL THEN 'extra' ELSE 'matched' END AS status,
+ CASE WHEN source_type = target_type THEN 'identical' WHEN source_type = 'text' AND target_type IS NOT NULL THEN 'incompatible' WHEN source_type = 'bigint' AND target_type = 'integer' THEN 'risky'
+  WHEN source_type IS NOT NULL AND target_type IS NOT NULL THEN 'widening' END AS level,
+ CASE WHEN source_type = target_type THEN '' WHEN source_type = 'text' AND target_type IS NOT NULL THEN 'text to ' || target_type || ': text values are no integer values'
+  WHEN source_type = 'bigint' AND target_type = 'integer' THEN 'bigint to integer may lose range or fraction'
+  WHEN source_type IS NOT NULL AND target_type IS NOT NULL THEN source_type || ' to ' || target_type || ': every value fits' END AS reason
+FROM c WHERE source_type IS NOT NULL OR target_type IS NOT NULL""")
 def schema_compare_columns(spark, d):
-    s, t = _tables()
-    out = preflight.compare_columns(columns_frame(spark, s), columns_frame(spark, t))
-    return out.select("table_name", "column_name", "source_type", "target_type", "status", "level")
+    k, kinds = F.col("o_orderkey"), F.array(*[F.lit(x) for x in ("integer", "bigint", "text")])
+    o = _Data(spark, d).table("orders")
 
+    def side(has, by) -> DataFrame:
+        none = F.lit(None).cast("string")
+        return o.where(has).select(
+            F.concat(F.lit("t"), (k % 50).cast("string")).alias("table_name"), F.concat(F.lit("c"), k.cast("string")).alias("column_name"),
+            F.element_at(kinds, (by % 3 + 1).cast("int")).alias("data_type"), F.lit(True).alias("nullable"), F.lit(False).alias("generated"),
+            F.lit(False).alias("identity"), none.alias("charset"))
 
-_NAMES = ["public.orders", "public.customers", "public.orders_audit", "billing.invoices", "billing.invoices_audit", "public.Orders", "a+b.c"]
+    out = preflight.compare_columns(side(k % 7 != 0, k), side(k % 5 != 0, F.col("o_custkey")))
+    return out.select("table_name", "column_name", "source_type", "target_type", "status", "level", "reason")
 
 
-@query(f"SELECT name FROM {_values([(n,) for n in _NAMES])} t(name) WHERE (name GLOB 'public.*' OR name GLOB 'bill?ng.*') AND NOT name GLOB '*_audit'")
+@query("""WITH n AS (SELECT DISTINCT event_type || '.' || user_id || CASE WHEN event_id % 3 = 0 THEN '_audit' WHEN event_id % 3 = 1 THEN '' ELSE '.Old' END AS name FROM events)
+SELECT name FROM n WHERE (name GLOB 'c*.1?' OR name GLOB '*.?2*') AND NOT name GLOB '*_audit'""")
 def glob_select_tables(spark, d):
-    names = spark.createDataFrame([(n,) for n in _NAMES], "name string")
-    return names.where(globs.selected(F.col("name"), ["public.*", "bill?ng.*"], ["*_audit"]))
+    e = _Data(spark, d).table("events")
+    i = F.col("event_id") % 3
+    end = F.when(i == 0, "_audit").when(i == 1, "").otherwise(".Old")
+    names = e.select(F.concat("event_type", F.lit("."), F.col("user_id").cast("string"), end).alias("name")).distinct()
+    return names.where(globs.selected(F.col("name"), ["c*.1?", "*.?2*"], ["*_audit"]))
 
 
 _KV = """kv AS (SELECT event_type || ':' || user_id || ':' || event_id AS key, event_type AS type, props AS value,
@@ -430,9 +445,27 @@ def kv_live_keys_ttl(spark, d):
     return keyvalue.live(_kv(spark, d)).select("key", "restore_ttl_ms")
 
 
-@query(f"WITH {_KV} SELECT CASE WHEN size >= 1000 THEN 'refuse' WHEN size >= 12 THEN 'warn' ELSE 'ok' END AS size_level, count(*) AS n FROM kv GROUP BY 1")
+@query("""SELECT event_id, CASE WHEN event_id % 1500 >= 1000 THEN 'refuse' WHEN event_id % 1500 >= 12 THEN 'warn' ELSE 'ok' END AS size_level FROM events""")
 def kv_size_guard_levels(spark, d):
-    return keyvalue.size_guard(_kv(spark, d), 12, 1000).groupBy("size_level").agg(F.count(F.lit(1)).alias("n"))
+    e = _Data(spark, d).table("events").withColumn("size", F.col("event_id") % 1500)
+    return e.select("event_id", keyvalue.size_level(12, 1000).alias("size_level"))
+
+
+@query(f"""WITH {_KV} SELECT key, 'string' AS type FROM kv WHERE size < 1000 AND (ttl_ms IS NULL OR ttl_ms <> -2) AND type IN ('click', 'view')""")
+def kv_type_filtered(spark, d):
+    """Keys of some kinds, none of them too large to carry."""
+    kv = keyvalue.size_guard(_kv(spark, d), 12, 1000).where("size_level <> 'refuse'")
+    kind = F.when(F.col("type").isin("click", "view"), "string").otherwise("stream")
+    return keyvalue.live(kv.withColumn("type", kind), types=["string"]).select("key", "type")
+
+
+@query(f"""WITH {_KV}, live AS (SELECT key, value FROM kv WHERE ttl_ms IS NULL OR ttl_ms <> -2), old AS (SELECT key, 'old' AS value FROM kv WHERE size % 2 = 0 UNION ALL SELECT 'own:' || n, 'own' FROM range(9) t(n))
+SELECT key, value FROM live UNION ALL SELECT key, value FROM old WHERE key NOT IN (SELECT key FROM live)""")
+def kv_restore_replace(spark, d):
+    """Live source keys written over what the target has under them."""
+    kv = _kv(spark, d)
+    old = kv.where("size % 2 = 0").select("key", F.lit("old").alias("value")).unionByName(spark.range(9).select(F.concat(F.lit("own:"), F.col("id").cast("string")).alias("key"), F.lit("own").alias("value")))
+    return changes.upsert(old, keyvalue.live(kv).select("key", "value"), ["key"])
 
 
 @query(_with("src tgt", "SELECT c_custkey FROM tgt ANTI JOIN src USING (c_custkey)"))
@@ -485,23 +518,32 @@ def tsv_round_trip(spark, d):
     return t.select("doc_id", *scalars.tsv_parse(F.col("line"), ["text", "lang"]))
 
 
-_SIZES = [("1024", 1024), ("1KB", 1000), ("1KiB", 1024), ("10GB", 10_000_000_000), ("1MiB", 1 << 20), ("2 GiB", 2 << 30), ("1.5kb", 1500), ("7b", 7), ("-5GB", None), ("banana", None), ("", None)]
+_UNITS = [("B", 1), ("kb", 10**3), ("KiB", 2**10), (" MB", 10**6), ("mib", 2**20), ("GB", 10**9), (" GiB", 2**30), ("", 1), ("xb", None), ("e3", None)]
 
 
-@query(f"SELECT text, CAST(coalesce(bytes, -1) AS BIGINT) AS bytes FROM {_values(_SIZES)} t(text, bytes)")
+@query("""WITH u(i, unit, bytes) AS (VALUES (0, 'B', 1), (1, 'kb', 1000), (2, 'KiB', 1024), (3, ' MB', 1000000), (4, 'mib', 1048576), (5, 'GB', 1000000000), (6, ' GiB', 1073741824), (7, '', 1), (8, 'xb', NULL), (9, 'e3', NULL))
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 AND i BETWEEN 1 AND 6 THEN CAST(floor((o_orderkey + 0.5) * bytes) AS BIGINT) WHEN o_orderkey % 4 = 0 AND i = 7 THEN NULL WHEN o_orderkey % 4 = 0 AND i = 0 THEN o_orderkey
+ WHEN o_orderkey % 4 = 1 THEN NULL ELSE o_orderkey * bytes END AS bytes FROM orders JOIN u ON o_orderkey % 10 = i""")
 def byte_size_parse(spark, d):
-    return spark.createDataFrame([(s,) for s, _ in _SIZES], "text string").withColumn("bytes", F.coalesce(scalars.byte_size_column(F.col("text")), F.lit(-1)))
-
-
-_VERSIONS = [("8.0.36-log", 80036), ("5.7.44", 50744), ("7.4", 70400), ("10.11.6-MariaDB", 101106), ("garbage", None)]
+    """Sizes made of a number, whole, with a fraction or below zero, and a unit, known or not."""
+    k = F.col("o_orderkey")
+    number = F.concat(F.when(k % 4 == 1, "-").otherwise(""), k.cast("string"), F.when(k % 4 == 0, ".5").otherwise(""))
+    unit = F.element_at(F.array(*[F.lit(u) for u, _ in _UNITS]), (k % 10 + 1).cast("int"))
+    return _Data(spark, d).table("orders").select("o_orderkey", scalars.byte_size_column(F.concat(number, unit)).alias("bytes"))
 
 
-@query(f"SELECT banner, number FROM {_values(_VERSIONS)} t(banner, number)")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE (o_orderkey % 12) * 10000 + CASE WHEN o_orderkey % 5 <> 3 THEN (o_custkey % 100) * 100 ELSE 0 END
+ + CASE WHEN o_orderkey % 5 < 2 THEN o_orderkey % 77 ELSE 0 END END AS number FROM orders""")
 def version_number(spark, d):
-    return spark.createDataFrame([(v,) for v, _ in _VERSIONS], "banner string").withColumn("number", scalars.version_number(F.col("banner")))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    major, minor, patch = (k % 12).cast("string"), (c % 100).cast("string"), (k % 77).cast("string")
+    dot = lambda *x: F.concat_ws(".", *x)
+    banner = (F.when(k % 5 == 0, F.concat(dot(major, minor, patch), F.lit("-log"))).when(k % 5 == 1, F.concat(dot(major, minor, patch), F.lit(" (build 7.7)")))
+              .when(k % 5 == 2, dot(major, minor)).when(k % 5 == 3, major).otherwise(F.concat(F.lit("v"), major)))
+    return _Data(spark, d).table("orders").select("o_orderkey", scalars.version_number(banner).cast("bigint").alias("number"))
 
 
-# -- graphs and loops (no SQL) ------------------------------------------------------------------
+# -- graphs ----------------------------------------------------------------------------------
 
 
 def supplied_tables() -> list[TableMeta]:
@@ -513,44 +555,7 @@ def supplied_tables() -> list[TableMeta]:
     return [TableMeta(t, tuple(Column(c, "bigint") for c in sorted(cols(t))), (keys[t],) if t in keys else (), (), fks(t)) for t in [*keys, "lineitem"]]
 
 
-@query()
-def fk_components(spark, d):
-    rows = [(i, t, t in c.cyclic) for i, c in enumerate(graph.components(supplied_tables())) for t in c.tables]
-    return spark.createDataFrame(rows, "component int, table_name string, cyclic boolean")
-
-
-@query()
-def topological_order(spark, d):
-    rows = [(c.tables[0], i, t) for c in graph.components(supplied_tables()) for i, t in enumerate(c.order)]
-    return spark.createDataFrame(rows, "component string, position int, table_name string")
-
-
-@query()
-def preflight_findings(spark, d):
-    s, t = _tables()
-    return preflight.findings(spark, [*s, *supplied_tables()], [*t, *supplied_tables()])
-
-
-@query(f"SELECT table_name, key FROM {_values([(t.name, ','.join(t.key)) for t in supplied_tables()])} t(table_name, key) WHERE key <> ''")
-def key_columns_by_table(spark, d):
-    return key_columns(spark, supplied_tables()).select("table_name", F.array_join("key", ",").alias("key"))
-
-
-@query(_with("src", "SELECT * FROM src"))
-def stream_drain_converges(spark, d):
-    """A store that drains deltas until none are left equals its source."""
-    x = _Data(spark, d)
-    base = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-    root = f"{base}/sync-{uuid.uuid4().hex}"
-    source, target = Store(spark, f"{root}/source"), Store(spark, f"{root}/target")
-    source.commit({"customer": x.table("customer")})
-    source.drop_at_exit(root)
-    s = Syncer(spark, "demo", source, Store(spark, f"{root}/state"), {"a": target}, [introspect("customer", x.table("customer"), key=KEY)], clock=lambda: NOW,
-               chunk_rows=1_000_000, drain_batch=1_000_000)
-    s.bring_up()
-    s.change("customer", x.src)
-    s.drain_until_empty("a")
-    return target.read("customer").select(*x.src.columns)
+from tidewell import queries_sync  # noqa: E402,F401  (registers the queries about syncs and metadata)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
