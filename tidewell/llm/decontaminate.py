@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm._common import WordHasher, alnum_words, grams, only, stored, tidy
+from tidewell.llm._common import WordHasher, alnum_words, grams, only, ship, stored, tidy
 
 WINDOW = 10
 K = 6
@@ -196,6 +196,26 @@ def contamination(
     )
 
 
+def _drop(shared, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items, memo = shared.value, WordHasher()
+        for batch in batches:
+            clean = [not items.marks(memo.of(alnum_words(t.as_py())))[0] for t in batch.column(text_at)]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return tidy(run)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+          window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows, with all their columns, that hold no benchmark window: one narrow pass, which goes by no id."""
+    ship(docs.sparkSession)
+    at, share = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast
+    for b in _blocks(benchmark, item_col, item_text_col, window, k, block_words):
+        docs = docs.mapInArrow(_drop(share(b), at), docs.schema)
+    return docs
+
+
 def _arrow_type(d: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
