@@ -2,9 +2,18 @@
 passages, secrets, packing.
 
 Each stage reads what the one before has written and keeps every column; the
-last returns packed pieces.  Rows keep their own identity throughout: stages
-that judge rows by id give each row a number of its own first, so repeated or
-missing ids neither multiply nor lose rows.
+last returns packed pieces.  No stage goes by a position in a scan, which
+changes when the cluster does: quality is judged by content (equal texts of one
+language get one verdict), near duplicates by a number that is written down
+with the rows before anything is judged, benchmark passages and secrets row by
+row in one narrow pass.
+
+Cases: ids may be null, repeated or of any type, no stage but packing reads
+them; null and empty texts fail the quality rules, and where a stage gets them
+all the same they are no duplicates, clean and without secrets; equal rows
+share their verdict, and of equal rows with words one stays behind the second
+stage; very long texts are read whole; an empty table gives an empty one with
+the same columns; further columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,39 +24,53 @@ from pyspark.sql import functions as F
 from tidewell.llm import decontaminate, neardup, packing, quality, secrets
 from tidewell.llm._common import stored, table
 
-ROW = "__row"
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(ROW, F.monotonically_increasing_id())
 
+def _content(docs: DataFrame, name: str) -> DataFrame:
+    """A column with 128 bits that stand for text and language."""
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit("")
+    half = lambda seed: F.lpad(F.hex(F.xxhash64(F.lit(seed), F.col("text").isNull(), "text", lang.isNull(), lang)), 16, "0")
+    return docs.withColumn(name, F.concat(half("one"), half("two")))
 
-def _where(docs: DataFrame, verdicts: DataFrame, keep: str) -> DataFrame:
-    """The numbered rows whose verdict holds, without their numbers.
 
-    Verdicts are brief rows with the row's number as doc_id.  Texts are not
-    shuffled when the verdicts against rows fit a broadcast (Spark sizes them).
+def _without(docs: DataFrame, against: DataFrame, name: str) -> DataFrame:
+    """The rows whose key is not among ``against``, without the key.
+
+    Texts are not shuffled where the keys fit a broadcast; Spark goes by the
+    measured size of the written keys.
     """
-    against = stored(verdicts.where(~F.col(keep)).select(F.col("doc_id").alias(ROW)), "verdicts")
-    return docs.join(against, ROW, "left_anti").drop(ROW)
+    return docs.join(stored(against.distinct(), "verdicts"), name, "left_anti").drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    d = _numbered(docs)
-    return _where(d, quality.judge(d, id_col=ROW), "kept")
+    """Texts that the rules reject go."""
+    name = _free(docs, "content")
+    d = _content(docs, name)
+    return _without(d, quality.judge(d, id_col=name).where("not kept").select(F.col("doc_id").alias(name)), name).select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8; of each group the row with the least number stays."""
-    d = _numbered(docs)
-    return _where(d, neardup.near_duplicates(d, id_col=ROW), "kept")
+    """Five-word shingles, similarity 0.8; of each group the row with the least number stays.
+
+    The rows are written with their numbers first, and every later scan, the
+    last one included, reads these.
+    """
+    name = _free(docs, "row")
+    d = stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    gone = neardup.near_duplicates(d, id_col=name).where("not kept").select(F.col("doc_id").alias(name))
+    return _without(d, gone, name).select(*[f"`{c}`" for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    d = _numbered(docs)
-    found = decontaminate.contamination(d, table(spark, sf_dir, "benchmark"), id_col=ROW)
-    return _where(d, found.select("doc_id", (F.size("runs") == 0).alias("clean")), "clean")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +94,8 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: The stages need a language model, a forest and a tokenizer, which SQL cannot express.
+#: The stages need a language model, a forest and a tokenizer, which SQL cannot express;
+#: tests hold each of them against a plain version.
 ORACLE_SQL = None
 
 
