@@ -290,6 +290,74 @@ def test_license_matches_sql(spark):
     assert got.where(F.col("n_known") > 0).count() > 0
 
 
+# Printed as in the files of projects.
+PRINTED_MIT = """MIT License
+
+Copyright (c) 2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+PRINTED_BSD = """/*
+ * Copyright (c) 1999, The Example Organisation, Inc.
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ *     * Redistributions of source code must retain the above copyright
+ *       notice, this list of conditions and the following disclaimer.
+ *     * Redistributions in binary form must reproduce the above copyright
+ *       notice, this list of conditions and the following disclaimer in the
+ *       documentation and/or other materials provided with the distribution.
+ *     * Neither the name of The Example Organisation nor the
+ *       names of its contributors may be used to endorse or promote products
+ *       derived from this software without specific prior written permission.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND
+ * ANY EXPRESS OR IMPLIED WARRANTIES, ARE DISCLAIMED.
+ */"""
+PRINTED_APACHE = """# Copyright 2020 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+def test_printed_notices(spark):
+    unwrapped = PRINTED_BSD.replace("\n *", " ").replace("The Example Organisation nor", "the University of Somewhere nor")
+    texts = [(1, PRINTED_MIT), (2, PRINTED_BSD), (3, PRINTED_APACHE), (4, unwrapped), (5, "// SPDX-License-Identifier: GPL-3.0-or-later\nint x;"), (6, "# SPDX-License-Identifier: MIT"),
+             (7, "mit"), (8, "All rights reserved."), (9, "Released under the MIT License.\nAll rights reserved."), (10, "Neither the name of one nor another counts."),
+             (11, PRINTED_BSD.replace("Neither", "Nothing"))]
+    got = {r.doc_id: (r.licenses, r.license_class) for r in licenses.scan(documents(spark, texts=texts)).collect()}
+    assert got == {1: ("MIT", "permissive"), 2: ("BSD-3-Clause", "permissive"), 3: ("Apache-2.0", "permissive"), 4: ("BSD-3-Clause", "permissive"), 5: ("GPL-3.0-or-later", "copyleft"),
+                   6: ("MIT", "permissive"), 7: ("", "none"), 8: ("All-Rights-Reserved", "restricted"), 9: ("MIT,All-Rights-Reserved", "restricted"), 10: ("", "none"),
+                   11: ("BSD-2-Clause", "permissive")}
+
+
 def test_license_wrapped_texts(spark):
     def wrapped(mark, *paragraphs):
         return "\n".join(mark.rstrip() if not x else mark + x for p in paragraphs for x in [*textwrap.wrap(p, 60), ""])

@@ -3,7 +3,10 @@
 A text is cut into normalised sentences; those that are known get their
 identifier; the sequence of identifiers is matched against ordered rules, the
 first rule that fits consuming the sentences it matched.  Sentences between
-known ones that are not known themselves do not break a rule.
+known ones that are not known themselves do not break a rule.  Where printed
+notices name a holder inside a sentence, any name of up to 200 characters does.
+"All rights reserved" before a licence's own text belongs to it; elsewhere it
+is a statement of its own.
 
 Every line is a sentence of its own, but a known sentence is also found where
 it is wrapped over several lines, behind comment marks or not; it then counts as
@@ -19,6 +22,7 @@ occurs several times counts each time; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +34,6 @@ SENTENCES: dict[str, list[str]] = {
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\")",
         "This project is licensed under the Apache License 2.0",
-        "SPDX-License-Identifier: Apache-2.0",
     ],
     "ApacheFile": ["you may not use this file except in compliance with the License"],
     "ApacheCopy": ["You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
@@ -43,7 +46,6 @@ SENTENCES: dict[str, list[str]] = {
         "Released under the MIT License",
         "Licensed under the MIT License",
         "This project is licensed under the MIT License",
-        "SPDX-License-Identifier: MIT",
     ],
     "MITPerm": [
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
@@ -75,20 +77,18 @@ SENTENCES: dict[str, list[str]] = {
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
         "products derived from this software without specific prior written permission"
     ],
-    "BSDRef2": ["Licensed under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause"],
-    "BSDRef3": ["Licensed under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSDRef2": ["Licensed under the BSD 2-Clause License"],
+    "BSDRef3": ["Licensed under the BSD 3-Clause License"],
     "ISCPerm": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies"
     ],
     "GPLRef2": [
         "This work is licensed under the GNU General Public License, version 2",
-        "SPDX-License-Identifier: GPL-2.0-only",
     ],
     "GPLRef3": [
         "This work is licensed under the GNU General Public License, version 3",
         "This project is licensed under the GNU General Public License v3.0",
-        "SPDX-License-Identifier: GPL-3.0-only",
     ],
     "GPLFree": [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
@@ -128,6 +128,10 @@ SENTENCES: dict[str, list[str]] = {
 
 # Ordered rules, the most specific first.
 RULES: list[tuple[str, list[str]]] = [
+    ("BSD-3-Clause", ["AllRights", "BSDPre", "BSDSource", "BSDBinary", "BSDEndorse"]),
+    ("BSD-2-Clause", ["AllRights", "BSDPre", "BSDSource", "BSDBinary"]),
+    ("MIT", ["AllRights", "MITPerm", "MITNotice", "MITAsIs"]),
+    ("ISC", ["AllRights", "ISCPerm"]),
     ("Apache-2.0", ["ApacheRef2", "ApacheFile", "ApacheCopy", "AsIsBasis", "ApacheSee"]),
     ("BSD-3-Clause", ["BSDPre", "BSDSource", "BSDBinary", "BSDEndorse"]),
     ("BSD-2-Clause", ["BSDPre", "BSDSource", "BSDBinary"]),
@@ -159,6 +163,18 @@ RULES: list[tuple[str, list[str]]] = [
 RESTRICTED = ["CC-BY-NC-4.0", "CC-BY-ND-4.0", "All-Rights-Reserved"]
 COPYLEFT = ["GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "CC-BY-SA-4.0"]
 
+# One more sentence and rule for every licence: its identifier in a source file's first lines.
+SPDX = "SPDX-License-Identifier:"
+for _licence in dict.fromkeys(name for name, _ in list(RULES) if name != "All-Rights-Reserved"):
+    SENTENCES[f"Spdx {_licence}"] = [f"{SPDX} {_licence}"]
+    RULES.append((_licence, [f"Spdx {_licence}"]))
+
+# Where printed notices put a name, and the sentence's wording without it.
+NAMES = [
+    ("neither the name of ", " nor the names of its contributors", "the copyright holder"),
+    ("neither the names of ", " nor the names of its contributors", "the copyright holder"),
+]
+
 #: Where one sentence ends: stops before white space, and every line end.
 ENDS = r"[.!?;:]+[ \t\r\f]+|\n"
 NOT_WORD = r"[^a-z0-9\n]+"
@@ -172,7 +188,8 @@ def _normal(s: str) -> list[str]:
     """The normalised sentences of a known text; what :func:`sentences` does in Spark."""
     import re
 
-    return [x.strip() for x in re.sub(NOT_WORD, " ", re.sub(ENDS, "\n", s.lower())).split("\n") if x.strip()]
+    text = s.lower().replace(SPDX.lower(), SPDX.lower()[:-1])
+    return [x.strip() for x in re.sub(NOT_WORD, " ", re.sub(ENDS, "\n", text)).split("\n") if x.strip()]
 
 
 def known_sentences(table: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
@@ -213,9 +230,18 @@ def _unwrap(text: Column, names: list[str]) -> Column:
     return _let(text, lambda t: _let(F.regexp_replace(t, f" ?{SOFT}", " "), lambda j: join(t, j)))
 
 
+def _unnamed(words: Column) -> Column:
+    """Names in known sentences replaced by the wording that the table has."""
+    wide = lambda x: x.replace(" ", f"(?: ?{SOFT}| )")
+    put = lambda w, n: F.regexp_replace(w, f"{wide(n[0])}[^\n]{{1,200}}?{wide(n[1])}", "neither the name of " + n[2] + n[1])
+    return _let(words, lambda w: F.when(F.contains(w, F.lit("neither")), functools.reduce(put, NAMES, w)).otherwise(w))
+
+
 def sentences(text: Column, names: list[str]) -> Column:
-    lines = F.regexp_replace(F.regexp_replace(F.lower(text), WRAP, SOFT), ENDS, "\n")
-    words = F.regexp_replace(lines, NOT_WORD.replace("^", f"^{SOFT}"), " ")
+    plain = F.replace(F.lower(text), F.lit(SPDX.lower()), F.lit(SPDX.lower()[:-1]))
+    lines = F.regexp_replace(F.regexp_replace(plain, WRAP, SOFT), ENDS, "\n")
+    words = _unnamed(F.regexp_replace(lines, NOT_WORD.replace("^", f"^{SOFT}"), " "))
+    names = [x for x in names if not x.startswith("spdx")]  # these stand on one line
     return F.filter(F.split(_unwrap(words, names), f" ?[\n{SOFT}] ?"), lambda s: F.trim(s) != "")
 
 
@@ -277,7 +303,7 @@ def scan_sql(table: str = "documents") -> str:
     return f"""
 WITH a AS (
   SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-      lower(coalesce(text, '')), '{ENDS}', chr(10), 'g'), '{NOT_WORD}', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
+      replace(lower(coalesce(text, '')), '{SPDX.lower()}', '{SPDX.lower()[:-1]}'), '{ENDS}', chr(10), 'g'), '{NOT_WORD}', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS s
   FROM {table}),
 b AS (SELECT doc_id, len(s) AS n_sentences,
   list_transform(list_filter(s, lambda x: list_contains({names}, x)), lambda x: {ids}[x]) AS k FROM a),
