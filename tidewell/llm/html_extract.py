@@ -41,9 +41,10 @@ BACKOFF = 5.0
 
 # Elements by how they lay out, from the HTML standard.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math object canvas select".split())
+RAW = set("script style textarea title iframe template select".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math svg object noscript canvas".split()
+    + "mi mo mn ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder semantics tspan".split()
 )
 BREAK = {"br", "hr", "img"}
 #: A start tag of the key ends open elements of these names, up to the listed parents.
@@ -78,7 +79,8 @@ KINDS = {
     **dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], "heading"),
     **dict.fromkeys(["ul", "ol", "dl", "menu"], "list"),
     **dict.fromkeys(["li", "dt", "dd"], "item"),
-    **dict.fromkeys(["table", "tbody", "thead", "tr", "td", "th", "caption"], "table"),
+    **dict.fromkeys(["table", "tbody", "thead", "tr"], "table"),
+    **dict.fromkeys(["td", "th", "caption"], "cell"),
     **dict.fromkeys(["figure", "figcaption"], "figure"),
     **dict.fromkeys(["nav", "header", "footer", "aside", "form", "button", "fieldset", "dialog"], "frame"),
     **dict.fromkeys(["html", "body"], "root"),
@@ -152,8 +154,6 @@ def parse(page: str) -> Tree:
             continue
         tag, close, attrs = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if tag in RAW and not close:
-            if attrs.endswith("/") and tag in ("svg", "math"):
-                continue
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else n if tag in ("script", "style", "textarea", "title") else at
             continue
@@ -319,6 +319,19 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[Tree]:
     attr = lambda kind: pick(["class", "class", "id"]) + f'="{pick(HINTS[kind].split())}"'
     maybe = lambda s, p=0.5: s if rng.random() < p else ""
 
+    plain = lambda: pick(["", "", f' class="{pick("abcdgkxyz")}{rng.randint(1, 40)}"', f' id="{word()}"', ' class="row"', ' class="wrap inner"'])
+
+    def bare() -> str:
+        """Menus, heads and feet whose names say nothing."""
+        some = [f'<a href="/{word()}">{words(1, 2).title()}</a>' for _ in range(rng.randint(2, 7))]
+        return pick([
+            lambda: f"<div{plain()}>{pick([' ', ' | ', ' &middot; ']).join(some)}</div>",
+            lambda: f"<div{plain()}><ul{plain()}>{links(2, 7)}</ul></div>",
+            lambda: f"<div{plain()}><{(x := pick(['h1', 'div', 'span', 'b']))}>{words(1, 3).title()}</{x}></div>",
+            lambda: f"<div{plain()}>{pick(['&copy; ', '© '])}{words(1, 4)}{pick(['', '. ' + sentence()])}</div>",
+            lambda: f"<div{plain()}><p>{words(2, 5).capitalize()}</p></div>",
+        ])()
+
     def comment() -> str:
         inner = "".join(f"<{pick(['li', 'div', 'p', 'article'])} {maybe(attr('comment'))}><p>{prose(1, 3)}</p>" for _ in range(rng.randint(1, 6)))
         return f"<{(x := pick(['div', 'section', 'ol', 'aside']))} {attr('comment')}>{maybe(f'<h3>{words(1, 3)}</h3>')}{inner}</{x}>"
@@ -338,35 +351,51 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[Tree]:
         "share": lambda: f"<div {attr('share')}>{pick([words(1, 4), f'<ul>{links(1, 4)}</ul>'])}</div>",
     }
 
-    def block() -> str:
+    def block(divs: bool = False) -> str:
         kind = rng.random()
+        if divs and kind < 0.72:
+            return f"<div{plain()}>{yes(pick([prose(1, 6), prose(1, 2), words(3, 60) + '.']))}</div>"
         if kind < 0.72:
             return f"<p>{pick(['', '', '<b>', '<em>'])}{yes(pick([prose(1, 6), prose(1, 2), words(1, 5) + '.', words(1, 90)]))}{pick(['', '<br>'])}{pick(['</p>', '</p>', ''])}"
         if kind < 0.82:
             return f"<h{(k := rng.randint(2, 4))}>{yes(words(1, 7))}</h{k}>"
         if kind < 0.88:
             return "<ul>" + "".join(f"<li>{yes(pick([words(1, 6), sentence()]))}</li>" for _ in range(rng.randint(2, 5))) + "</ul>"
-        if kind < 0.92:
+        if kind < 0.91:
             return f"<blockquote>{pick(['', '<p>'])}{yes(prose(1, 2))}</blockquote>"
         if kind < 0.95:
-            return "<table>" + "".join(f"<tr><td>{yes(words(1, 3))}<td>{yes(words(1, 3))}" for _ in range(rng.randint(1, 4))) + "</table>"
+            top = maybe(f"<tr><th>{yes(words(1, 2))}<th>{yes(words(1, 2))}")
+            return f"<table{plain()}>{top}" + "".join(f"<tr><td>{yes(words(1, 3))}<td>{yes(words(1, 3))}" for _ in range(rng.randint(1, 4))) + "</table>"
         if kind < 0.97:
             return f"<pre>{yes(words(2, 12))}</pre>"
         return f"<figure><figcaption>{yes(words(2, 9))}</figcaption></figure>"
 
     out = []
     for _ in range(n):
-        body = [block() for _ in range(pick([1, 2, 3, 5, 8, 12, 20]))]
+        dull = rng.random() < 0.2  # a page whose names say nothing
+        divs = dull and rng.random() < 0.6
+        body = [block(divs) for _ in range(pick([1, 2, 3, 5, 8, 12, 20]))]
         title = f"<h1>{yes(words(1, 10))}</h1>"
-        if (kind := rng.random()) < 0.7:
+        if dull:
+            title = f"<h{(k := rng.randint(1, 3))}>{yes(words(1, 10))}</h{k}>"
+        if (kind := rng.random()) < 0.7 or dull:
             body.insert(0, title)
         elif kind < 0.85:
             body.insert(0, f"<header>{title}{maybe(f'<p {attr('share')}>{words(1, 4)}</p>')}</header>")
-        for _ in range(pick([0, 0, 1, 2])):
+        for _ in range(0 if dull else pick([0, 0, 1, 2])):
             body.insert(rng.randint(0, len(body)), junk[pick(["ad", "share", "side", "notice", "comment", "form"])]())
         inner = "".join(body)
         shell = rng.random()
-        if shell < 0.5:
+        cells = dull and rng.random() < 0.35
+        if dull:
+            if rng.random() < 0.7 and not cells:
+                inner = f"<div{plain()}>{inner}</div>"
+            if cells:
+                menu = pick([" ".join(f'<a href="/{word()}">{words(1, 2)}</a>' for _ in range(rng.randint(2, 6))), f"<ul>{links(2, 7)}</ul>"])
+                head = maybe(f"<tr><td colspan=2>{pick(['<b>', '<h1>', ''])}{words(1, 4)}</td></tr>")
+                foot = maybe(f"<tr><td colspan=2>{pick(['©', words(1, 2)])} {words(1, 5)}</td></tr>")
+                inner = f"<table{plain()}>{head}<tr><td{plain()}>{menu}</td><td{plain()}>{inner}</td></tr>{foot}</table>"
+        elif shell < 0.5:
             inner = f"<article{maybe(' ' + attr('main'), 0.3)}>{inner}</article>"
         elif shell < 0.65:
             inner = f"<main>{inner}</main>"
@@ -374,10 +403,13 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = SEED) -> list[Tree]:
             inner = f"<{(x := pick(['div', 'section']))} {attr('main')}>{inner}</{x}>"
         elif shell < 0.96:
             inner = f"<div>{inner}</div>"
-        if shell < 0.96 and rng.random() < 0.4:  # the rest stands in the body itself
+        if not dull and shell < 0.96 and rng.random() < 0.4:  # the rest stands in the body itself
             inner = f"<{(x := pick(['main', 'div', 'section']))}{maybe(' ' + attr('main'))}>{inner}{maybe(junk['comment']())}</{x}>"
         before = [junk[k]() for k in ("notice", "head", "nav", "ad", "form", "nav", "notice") if rng.random() < 0.4]
         after = [junk[k]() for k in ("share", "comment", "side", "ad", "form", "nav", "notice", "foot") if rng.random() < 0.4]
+        if dull:
+            before = [bare() for _ in range(rng.randint(0, 2))] + [b for b in before if rng.random() < 0.3]
+            after = [a for a in after if rng.random() < 0.3] + [bare() for _ in range(rng.randint(0, 2))]
         if rng.random() < 0.1:
             after.append(f"<p>{pick(['©', words(1, 3)])} {words(1, 6)}</p>")
         t = parse(f"<!DOCTYPE html><html><head><title>{words(1, 5)}</title></head><body>{''.join(before)}{inner}{''.join(after)}</body></html>")
