@@ -39,7 +39,7 @@ SEED = 20240611
 THRESHOLD = 0.5
 
 # Words that name a secret, and public forms of credentials.
-KEYWORDS = "password passwd pwd passphrase secret token api_key apikey api-key access_key access-key auth_token client_secret private_key credential credentials bearer"
+KEYWORDS = "password passwd pwd passphrase secret secret_key secret-key token api_key apikey api-key access_key access-key auth_token client_secret private_key credential credentials bearer"
 RULES = {
     "private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----.*?(?:-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)",
     "aws_key_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
@@ -288,9 +288,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
 def _redact(shared, threshold: float, text_at: int, path_at: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            paths = batch.column(path_at).to_pylist() if path_at >= 0 else [None] * batch.num_rows
+            paths = batch.column(path_at).to_pylist()
             new = [v if not (v := t.as_py()) else without(v, united(findings(v, p, shared.value), threshold)) for t, p in zip(batch.column(text_at), paths)]
-            cols = list(batch.columns)
+            cols = list(batch.columns)[:path_at]
             cols[text_at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
@@ -300,5 +300,8 @@ def _redact(shared, threshold: float, text_at: int, path_at: int, schema: pa.Sch
 def redact(docs: DataFrame, *, text_col: str = "text", path_col: str = "source", threshold: float = THRESHOLD, forest: Forest | None = None) -> DataFrame:
     """The same rows and columns, each secret in the text replaced by its rule's name in brackets."""
     shared = ship(docs.sparkSession).sparkContext.broadcast(forest or default_forest())
-    path_at = docs.columns.index(path_col) if path_col in docs.columns and dict(docs.dtypes)[path_col] == "string" else -1
-    return docs.mapInArrow(_redact(shared, threshold, docs.columns.index(text_col), path_at, to_arrow_schema(docs.schema)), docs.schema)
+    name = "path"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    wide = docs.select("*", _path(docs, path_col).alias(name))  # the path goes along as text, whatever its type, and is left behind
+    return wide.mapInArrow(_redact(shared, threshold, docs.columns.index(text_col), len(docs.columns), to_arrow_schema(docs.schema)), docs.schema)
