@@ -1,17 +1,23 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-Words and word pairs of the training documents are counted in Spark.  A count
-becomes a level on a logarithmic scale; a key of level q is put into a Bloom
-filter q times, as (key, 1) .. (key, q).  Workers get the filter by broadcast
-and read a count back by probing levels until one is absent: never less than
-the true level, and more with a small known probability.  Probabilities of
-pairs are interpolated with smoothed probabilities of words.
+Words, pairs and triples of the training documents are counted in Spark.  A
+count becomes a level on a logarithmic scale; a key of level q is put into a
+Bloom filter q times, as (key, 1) .. (key, q).  Workers read a count back by
+probing levels until one is absent: never less than the true level, and more
+with a small known probability.
+
+Probabilities are smoothed from the words up: a word's is (c+1)/(N+V+1), and
+with the word or two words before it
+``(count of all + weight * shorter probability) / (count before + weight)``,
+so a context counts the more the oftener it was seen.  ``WEIGHTS`` are fixed
+(found on held-out documents of one small table).
 
 Counting combines before it shuffles: a task sends, for each range of hashes,
 one compressed list of sorted keys and counts.  The filter is made range by
-range where the counts are.  A broadcast holds at most ``filter_bytes`` of the
-pair filter; a larger one is scored in so many passes, each token being scored
-in the pass that holds its pair.  The filter of single words goes with each.
+range where the counts are.  A filter of up to ``filter_bytes`` is broadcast
+and texts are scored in one narrow pass.  A larger one stays where it is:
+blocks of documents send their distinct keys to the ranges, once, and get the
+levels back; nothing then grows with the corpus but the number of ranges.
 
 The unigram baseline uses exact counts: words with a share of at least 2^-20
 of all tokens (so at most 2^20 of them) are broadcast, the others are joined.
@@ -45,11 +51,11 @@ RANGE_BYTES = 8 << 20
 #: Words that may be broadcast with exact counts.
 FREQUENT = 1 << 20
 #: Tokens that a task gathers before it combines them.
-GATHER = 2_000_000
+GATHER = 1_500_000
 #: Documents that a task scores together.
 SCORED = 500
-#: Weight of the pair's relative frequency.
-PAIR_WEIGHT = 0.25
+#: Weights of the shorter probability, for pairs and for triples.
+WEIGHTS = 400.0, 10.0
 
 END, START = np.uint64(0x5EED0E4D00000001), np.uint64(0x5EED0E4D00000002)
 
@@ -94,6 +100,27 @@ def make_range(key: np.ndarray, count: np.ndarray) -> tuple[int, bytes]:
     return blocks, np.packbits(out, bitorder="little").tobytes()
 
 
+def levels_of(key: np.ndarray, blocks: np.ndarray, start: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The level of each key, by membership probes until one fails; a key's range has
+    so many blocks and begins at that block of the data."""
+    out = np.zeros(len(key), np.int64)
+    at = np.flatnonzero(blocks > 0)
+    n = 0
+    while len(at):
+        n += 1
+        block, bits = _place(key[at], n, blocks[at])
+        word = (block + start[at]) * (BLOCK // 64)
+        for i in range(PROBES):
+            b = bits >> np.uint64(9 * i) & np.uint64(BLOCK - 1)
+            ok = data[word + (b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1) > 0
+            if not ok.all():
+                at, word, bits = at[ok], word[ok], bits[ok]
+            if not len(at):
+                break
+        out[at] = n
+    return out
+
+
 class Ranges:
     """Bloom filters over ranges of the hash space, back to back."""
 
@@ -119,24 +146,8 @@ class Ranges:
         return (key >> self.shift).astype(np.int64) if self.shift < 64 else np.zeros(len(key), np.int64)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
-        """The level of each key, by membership probes until one fails."""
-        out = np.zeros(len(key), np.int64)
         r = self.range_of(key)
-        at = np.flatnonzero(self.blocks[r] > 0)
-        n = 0
-        while len(at):
-            n += 1
-            block, bits = _place(key[at], n, self.blocks[r[at]])
-            word = (block + self.start[r[at]]) * (BLOCK // 64)
-            for i in range(PROBES):
-                b = bits >> np.uint64(9 * i) & np.uint64(BLOCK - 1)
-                ok = self.data[word + (b >> np.uint64(6)).astype(np.int64)] >> (b & np.uint64(63)) & np.uint64(1) > 0
-                if not ok.all():
-                    at, word, bits = at[ok], word[ok], bits[ok]
-                if not len(at):
-                    break
-            out[at] = n
-        return out
+        return levels_of(key, self.blocks[r], self.start[r], self.data)
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         return DECODED[self.levels(key)]
@@ -146,6 +157,17 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * _K + right)
 
 
+#: Keys of pairs and triples keep 48 bits, which within one range are enough.
+_SHORT = ~np.uint64(0xFFFF)
+
+
+def token_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words, pairs and triples that end at each token of a text; it starts behind two start marks."""
+    before = np.append(START, h[:-1])
+    two = pair_keys(np.append(START, before[:-1]), before)
+    return h, pair_keys(before, h) & _SHORT, pair_keys(two, h) & _SHORT
+
+
 def _packed(key: np.ndarray, count: np.ndarray) -> bytes:
     """Sorted keys as differences, and counts, compressed."""
     a = zlib.compress(np.diff(key, prepend=np.uint64(0)).astype("<u8").tobytes(), 1)
@@ -158,39 +180,41 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
             np.frombuffer(zlib.decompress(data[4 + n :]), "<u4").astype(np.int64))
 
 
-def _gather(ranges: int):
-    """(kind, range, list) rows: the words (0) and pairs (1) of some documents, combined."""
+def _by_range(key: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
+    """(range, first, last + 1) of sorted keys."""
     shift = np.uint64(64 - (ranges.bit_length() - 1))
+    r = (key >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(key), np.int64)
+    cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+    return list(zip(r[cut].tolist(), cut.tolist(), np.append(cut[1:], len(r)).tolist()))
+
+
+def _gather(ranges: int):
+    """(kind, range, list) rows: the words (0), pairs (1) and triples (2) of some documents, combined."""
 
-    def out(kind: int, parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def out(kind: int, parts: list[np.ndarray]) -> pa.RecordBatch:
         key, count = np.unique(np.concatenate(parts), return_counts=True)
-        if kind:  # 40 bits are enough for a filter within one range
-            short = key & ~np.uint64(0xFFFF)
-            first = np.flatnonzero(np.append(True, short[1:] != short[:-1]))
-            key, count = short[first], np.add.reduceat(count, first)
-        r = (key >> shift).astype(np.int64) if ranges > 1 else np.zeros(len(key), np.int64)
-        cut = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        ends = np.append(cut[1:], len(r))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(cut), pa.int32()), pa.array(r[cut], pa.int64()),
-             pa.array([_packed(key[a:b], count[a:b]) for a, b in zip(cut, ends)], pa.binary())],
+        cut = _by_range(key, ranges)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(cut), pa.int32()), pa.array([r for r, _, _ in cut], pa.int64()),
+             pa.array([_packed(key[a:b], count[a:b]) for _, a, b in cut], pa.binary())],
             names=["kind", "r", "list"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, size = WordHasher(), ([], []), 0
+        memo, held, size = WordHasher(), ([], [], []), 0
         for batch in batches:
             for text in batch.column(0):
                 h = np.append(memo.of(ascii_words(text.as_py())), END)
-                held[0].append(h)
-                held[1].append(pair_keys(np.append(START, h[:-1]), h))
+                for kind, key in enumerate(token_keys(h)):
+                    held[kind].append(key)
                 size += len(h)
                 if size >= GATHER:
-                    for kind in (0, 1):
-                        yield from out(kind, held[kind])
-                    held, size = ([], []), 0
+                    for kind in range(3):
+                        yield out(kind, held[kind])
+                        held[kind].clear()
+                    size = 0
         if size:
-            for kind in (0, 1):
-                yield from out(kind, held[kind])
+            for kind in range(3):
+                yield out(kind, held[kind])
 
     return tidy(run)
 
@@ -222,13 +246,11 @@ _FILTER = "kind int, r bigint, blocks bigint, data binary, tokens bigint, h arra
 
 
 class Scorer:
-    """What a worker needs to score tokens whose pairs lie in its part of the filter."""
+    """What a worker needs to score texts, but for the levels of their keys."""
 
-    def __init__(self, words: Ranges, pairs: Ranges, frequent: tuple[np.ndarray, np.ndarray],
-                 tokens: int, distinct: int, texts: int, own: tuple[int, int] | None):
-        self.texts, self.own = texts, own  # own: the first and last range scored here, None for all
-        self.words, self.pairs, self.frequent = words, pairs, frequent
-        self.tokens, self.distinct = tokens, distinct
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int, filters: list[Ranges] | None = None):
+        self.frequent, self.tokens, self.distinct, self.texts = frequent, tokens, distinct, texts
+        self.filters = filters
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of frequent words, -1 for all others."""
@@ -239,70 +261,123 @@ class Scorer:
         at[at == len(keys)] = 0
         return np.where(keys[at] == h, counts[at], -1)
 
-    def logp(self, h: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log10 probabilities by text, of the tokens scored here; and every
-        token's exact count, -1 where that is not broadcast."""
+    def logp(self, hs: list[np.ndarray], levels) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log10 probabilities by text; and every token's exact count, -1 where
+        that is not broadcast.  ``levels(kind, keys)`` reads the filter for distinct keys."""
+        owner = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
         first = np.append(True, owner[1:] != owner[:-1])
-        w, at = np.unique(h, return_inverse=True)
+        keys = [np.concatenate(k) for k in zip(*map(token_keys, hs))]
+        w, at = np.unique(keys[0], return_inverse=True)
         known = self.exact(w)
         count = known.astype(np.float64)
         rare = np.flatnonzero(known < 0)  # the filter answers for these
-        count[rare] = self.words.counts(w[rare])
-        exact, c_word = known[at], count[at]
-        before = np.where(first, START, np.append(START, h[:-1]))
-        c_before = np.where(first, max(1, self.texts), np.append(0.0, c_word[:-1]))
-        pair = pair_keys(before, h) & ~np.uint64(0xFFFF)
-        if self.own:
-            r = self.pairs.range_of(pair)
-            mine = np.flatnonzero((r >= self.own[0]) & (r <= self.own[1]))
-            owner, pair, c_word, c_before = owner[mine], pair[mine], c_word[mine], c_before[mine]
-        p, where = np.unique(pair, return_inverse=True)
-        c_pair = np.minimum(self.pairs.counts(p)[where], c_word)
-        context = np.maximum(c_before, c_pair)
-        alone = (c_word + 1) / (self.tokens + self.distinct + 1)
-        prob = PAIR_WEIGHT * np.divide(c_pair, context, out=np.zeros(len(pair)), where=context > 0) + (1 - PAIR_WEIGHT) * alone
-        return np.bincount(owner, np.log10(prob), n).astype(float), exact
-
-
-def _score(shared, main: bool):
+        count[rare] = DECODED[levels(0, w[rare])]
+        exact, c1 = known[at], count[at]
+        back = lambda c: np.where(first, max(1, self.texts), np.append(0.0, c[:-1]))  # noqa: E731  counts one token before
+        prob, shorter = (c1 + 1) / (self.tokens + self.distinct + 1), c1
+        for kind, weight in zip((1, 2), WEIGHTS):
+            k, where = np.unique(keys[kind], return_inverse=True)
+            # neither more than what it ends with nor than its context
+            c = np.minimum(DECODED[levels(kind, k)][where], shorter)
+            before = back(shorter)
+            c = np.minimum(c, before)
+            prob = (c + weight * prob) / (before + weight)
+            shorter = c
+        return np.bincount(owner, np.log10(prob), len(hs)).astype(float), exact
+
+    def rows(self, ids, texts: list[str | None], docs, held, memo: WordHasher, levels) -> pa.RecordBatch:
+        hs = [np.append(memo.of(ascii_words(t)), END) for t in texts]
+        score, count = self.logp(hs, levels)
+        known, cut = count >= 0, np.cumsum([len(h) for h in hs])[:-1]
+        rare_h, rare_n = [], []
+        for x, k in zip(hs, np.split(known, cut)):
+            u, c = np.unique(x[~k], return_counts=True)
+            rare_h.append(u.view(np.int64))
+            rare_n.append(c.astype(np.int32))
+        owner = np.repeat(np.arange(len(hs)), [len(h) for h in hs])
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(score), pa.array([len(h) for h in hs], pa.int64()),
+            pa.array(np.bincount(owner, known & (count > 0), len(hs)).astype(np.int64)),
+            pa.array(np.bincount(owner, np.where(known, np.log10(np.maximum(count, 0) + 1.0), 0.0), len(hs)).astype(float)),
+            pa.array(rare_h, pa.list_(pa.int64())), pa.array(rare_n, pa.list_(pa.int32())), docs, held,
+        ], names=["rid", "score", "n_tokens", "known", "base", "rare_h", "rare_n", "doc_id", "held_out"])
+
+
+def _score(shared):
+    """Texts scored with the filter at hand."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, SCORED):
                 b = batch.slice(i, SCORED)
-                hs = [np.append(memo.of(ascii_words(t.as_py())), END) for t in b.column(1)]
-                n = np.asarray([len(h) for h in hs])
-                h, owner = np.concatenate(hs), np.repeat(np.arange(len(hs)), n)
-                score, count = model.logp(h, owner, len(hs))
-                cols, names = [b.column(0), pa.array(score)], ["rid", "score"]
-                if main:
-                    known = count >= 0
-                    rare_h, rare_n = [], []
-                    for x, k in zip(np.split(h, np.cumsum(n)[:-1]), np.split(known, np.cumsum(n)[:-1])):
-                        u, c = np.unique(x[~k], return_counts=True)
-                        rare_h.append(u.view(np.int64))
-                        rare_n.append(c.astype(np.int32))
-                    cols += [
-                        pa.array(n, pa.int64()),
-                        pa.array(np.bincount(owner, known & (count > 0), len(hs)).astype(np.int64)),
-                        pa.array(np.bincount(owner, np.where(known, np.log10(np.maximum(count, 0) + 1.0), 0.0), len(hs)).astype(float)),
-                        pa.array(rare_h, pa.list_(pa.int64())),
-                        pa.array(rare_n, pa.list_(pa.int32())),
-                        b.column(2),
-                        b.column(3),
-                    ]
-                    names += ["n_tokens", "known", "base", "rare_h", "rare_n", "doc_id", "held_out"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield model.rows(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3), memo, lambda kind, k: model.filters[kind].levels(k))
 
     return tidy(run)
 
 
+def _ask(ranges: int):
+    """(kind, range, block, list): the distinct keys of a block of texts, for the ranges that hold their levels."""
+
+    def out(block: int, hs: list[np.ndarray]) -> pa.RecordBatch:
+        rows = []
+        for kind, keys in enumerate(zip(*map(token_keys, hs))):
+            key = np.unique(np.concatenate(keys))
+            rows += [(kind, r, block, _packed(key[a:b], np.zeros(0))) for r, a, b in _by_range(key, ranges)]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "r", "block", "list"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, held, now = WordHasher(), [], None
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if block != now and held:
+                    yield out(now, held)
+                    held = []
+                now = block
+                held.append(np.append(memo.of(ascii_words(text.as_py())), END))
+        if held:
+            yield out(now, held)
+
+    return tidy(run)
+
+
+def _answer(asked: pa.Table, made: pa.Table) -> pa.Table:
+    """The asked keys of one range with their levels (0 without a filter)."""
+    keys = [_unpacked(x)[0] for x in asked.column("list").to_pylist()]
+    level_ = [np.zeros(len(k), np.int64) for k in keys]
+    if made.num_rows:
+        blocks, data = made.column("blocks")[0].as_py(), np.frombuffer(made.column("data")[0].as_py(), "<u8")
+        level_ = [levels_of(k, np.full(len(k), blocks, np.uint64), np.zeros(len(k), np.int64), data) for k in keys]
+    return pa.table({"kind": asked.column("kind"), "block": asked.column("block"), "list": asked.column("list"),
+                     "levels": pa.array([x.astype(np.uint8).tobytes() for x in level_], pa.binary())})
+
+
+def _score_block(shared):
+    """The texts of one block scored with the levels that came back for it."""
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        known = []
+        for kind in range(3):
+            mine = [(k, v) for n, k, v in zip(*[answers.column(c).to_pylist() for c in ("kind", "list", "levels")]) if n == kind]
+            key = np.concatenate([_unpacked(k)[0] for k, _ in mine] or [np.zeros(0, np.uint64)])
+            value = np.concatenate([np.frombuffer(v, np.uint8) for _, v in mine] or [np.zeros(0, np.uint8)])
+            order = np.argsort(key, kind="stable")
+            known.append((key[order], value[order].astype(np.int64)))
+        levels = lambda kind, k: known[kind][1][np.searchsorted(known[kind][0], k)]
+        one = texts.combine_chunks().to_batches()
+        made = [shared.value.rows(b.column("rid"), b.column("text").to_pylist(), b.column("doc_id"), b.column("held_out"), WordHasher(), levels) for b in one]
+        return pa.Table.from_batches(made)
+
+    return run
+
+
 _MAIN = "rid bigint, score double, n_tokens bigint, known bigint, base double, rare_h array<bigint>, rare_n array<int>"
 
 
-def _load(filters: DataFrame, kind: int, ranges: int, lo: int, hi: int) -> Ranges:
-    """A part of the filter on the driver, filled range by range into one array."""
-    mine = filters.where((F.col("kind") == kind) & F.col("r").between(lo, hi))
+def _load(filters: DataFrame, kind: int, ranges: int) -> Ranges:
+    """The filter of one kind on the driver, filled range by range into one array."""
+    mine = filters.where(F.col("kind") == kind)
     return Ranges(ranges, mine.select("r", "blocks").collect(), ((x.r, x.data) for x in mine.select("r", "data").toLocalIterator()))
 
 
@@ -338,41 +413,24 @@ def score(
     order = np.argsort(fh)
     top = fh[order], fc[order]
     n_train = train.count()
-    word_filter = _load(filters, 0, ranges, 0, ranges)
-    # consecutive ranges of pairs, a broadcast at a time
-    shards, room = [], 0  # of first and last range
-    for r in filters.where("kind = 1").select("r", "blocks").orderBy("r").collect():
-        if not shards or room + r.blocks * BLOCK // 8 > filter_bytes:
-            shards.append(r.r)
-            room = 0
-        room += r.blocks * BLOCK // 8
-    starts = [0, *shards[1:], ranges]
-    shards = [(a, b - 1) for a, b in zip(starts, starts[1:])]
+    size = (filters.agg(F.sum("blocks")).first()[0] or 0) * BLOCK // 8
     rows = d.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", held.alias("held_out"))
-    if len(shards) > 1:  # the passes have to agree on the rows' numbers
-        rows = stored(rows, "texts")
-    made = []
-    for i, (lo, hi) in enumerate(shards):
-        own = (lo, hi) if len(shards) > 1 else None
-        shared = spark.sparkContext.broadcast(Scorer(word_filter, _load(filters, 1, ranges, lo, hi), top, tokens, distinct, n_train, own))
-        if i == 0:
-            scored = rows.mapInArrow(_score(shared, True), f"{_MAIN}, doc_id {kind}, held_out boolean")
-        else:
-            scored = rows.select("rid", "text").mapInArrow(_score(shared, False), "rid bigint, score double")
-        made.append(stored(scored, "scores"))
-        shared.destroy()  # one part of the filter at a time
-    main = made[0]
+    model, schema = Scorer(top, tokens, distinct, n_train), f"{_MAIN}, doc_id {kind}, held_out boolean"
+    if size <= filter_bytes:
+        model.filters = [_load(filters, k, ranges) for k in range(3)]
+        scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+    else:
+        rows = stored(rows.withColumn("block", F.floor(F.col("rid") / SCORED).cast("bigint")), "texts")
+        asked = rows.select("block", "text").mapInArrow(_ask(ranges), "kind int, r bigint, block bigint, list binary")
+        made = filters.select("kind", "r", "blocks", "data")
+        answers = asked.groupBy("kind", "r").cogroup(made.groupBy("kind", "r")).applyInArrow(_answer, "kind int, block bigint, list binary, levels binary")
+        scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(spark.sparkContext.broadcast(model)), schema)
+    main = stored(scored, "scores")
     # words that are not broadcast: their exact counts by join, summed per document
     rare = main.select("rid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("x")).select("rid", F.col("x.rare_h").alias("h"), F.col("x.rare_n").alias("n"))
     looked = rare.join(counts.where(F.col("c") < least), "h").groupBy("rid").agg(
         F.sum("n").alias("known2"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("base2"))
     out = main.drop("rare_h", "rare_n").join(looked, "rid", "left")
-    if len(made) > 1:
-        more = made[1]
-        for x in made[2:]:
-            more = more.unionByName(x)
-        out = out.join(more.groupBy("rid").agg(F.sum("score").alias("score2")), "rid", "left").withColumn(
-            "score", F.col("score") + F.coalesce("score2", F.lit(0.0)))
     return out.select(
         "doc_id",
         "held_out",
