@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm._common import _K, mix, only, stored, tidy
-from tidewell.llm.suffixes import common_prefix, deep_shallow_sort
+from tidewell.llm.suffixes import deep_shallow_sort
 
 SPAN = 400
 GRAM = 32
@@ -194,10 +194,6 @@ def shared_windows(members: list[tuple[int, int, int, bytes]], span: int) -> lis
     of its windows that another piece has at the same offset from the anchor."""
     left = [p[: a - lo][::-1] for a, lo, _, p in members]
     right = [p[a - lo :] for a, lo, _, p in members]
-    if len(members) == 2:
-        before, after = common_prefix(*left), common_prefix(*right)
-        t = np.arange(max(0, span - after), before + 1)
-        return [at - t for at, *_ in members]
     n = len(members)
     classes = []
     t = np.arange(0, max(a - lo for a, lo, *_ in members) + 1)
