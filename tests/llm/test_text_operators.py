@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import textwrap
 import zlib
 
@@ -45,6 +46,43 @@ def test_lm_parts_agree(spark):
     assert all(abs(one[k] - many[k]) < 1e-6 * abs(one[k]) for k in one)
 
 
+def test_lm_score_against_plain_counts(spark):
+    """Every probability from plain counters; the filter may only add what its false positives add."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = [collections.Counter() for _ in range(4)]
+    texts = 0
+    for r in rows:
+        if not held(r.doc_id):
+            w = [b"<", b"<", *tokens(r.text)]
+            texts += 1
+            for n in (1, 2, 3):
+                count[n].update(tuple(w[i - n + 1 : i + 1]) for i in range(2, len(w)))
+    total, distinct = sum(count[1].values()), len(count[1])
+    near = lambda c: float(lm.DECODED[lm.level(np.asarray([c]))[0]]) if c else 0.0
+    exact = lambda c: float(c) if c >= max(1, -(-total // lm.FREQUENT)) else near(c)
+
+    def plain(text):
+        w, out = [b"<", b"<", *tokens(text)], 0.0
+        for i in range(2, len(w)):
+            c1 = exact(count[1][(w[i],)])
+            p = (c1 + 1) / (total + distinct + 1)
+            before = texts if i == 2 else exact(count[1][(w[i - 1],)])
+            c2 = min(near(count[2][tuple(w[i - 1 : i + 1])]), c1, before)
+            p = (c2 + lm.WEIGHTS[0] * p) / (before + lm.WEIGHTS[0])
+            before = texts if i == 2 else min(near(count[2][tuple(w[i - 2 : i])]), exact(count[1][(w[i - 1],)]), texts if i == 3 else exact(count[1][(w[i - 2],)]))
+            c3 = min(near(count[3][tuple(w[i - 2 : i + 1])]), c2, before)
+            p = (c3 + lm.WEIGHTS[1] * p) / (before + lm.WEIGHTS[1])
+            out += math.log10(p)
+        return out
+
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows)).collect()}
+    off = [abs(got[r.doc_id].score / plain(r.text) - 1) for r in rows]
+    assert np.quantile(off, 0.9) < 0.01 and max(off) < 0.05
+    unseen = [got[i] for i in got if held(i)]
+    assert sum(r.score for r in unseen) > 0.9 * sum(r.base_score for r in unseen)  # the longer contexts help on texts that did not train
+
+
 def test_filter_counts():
     rng = np.random.default_rng(1)
     key = np.unique(rng.integers(0, 2**64, 20_000, dtype=np.uint64))
@@ -96,6 +134,66 @@ def test_perplexity_is_a_distribution_and_separates():
     assert good < bad
 
 
+def plain_kneser_ney(counts):
+    """Interpolated modified Kneser-Ney by dictionaries of symbol tuples."""
+    orders = {quality.ORDER: dict(counts)}
+    for n in range(quality.ORDER - 1, 0, -1):
+        orders[n] = collections.Counter(g[1:] for g in orders[n + 1])
+    cuts = {}
+    for n, c in orders.items():
+        of = collections.Counter(min(x, 5) for x in c.values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+        cuts[n] = [0.0] + [min(max(i - (i + 1) * y * of[i + 1] / of[i], 0.1), i - 0.05) if of[i] else 0.5 for i in (1, 2, 3)]
+
+    def p(g):
+        n = len(g)
+        if n == 0:
+            return 1 / quality.SYMBOLS
+        mine = [c for x, c in orders[n].items() if x[:-1] == g[:-1]]
+        if not mine:
+            return p(g[1:])
+        cut = lambda c: cuts[n][min(c, 3)]
+        here = orders[n].get(g, 0)
+        return (here - cut(here)) / sum(mine) + sum(map(cut, mine)) / sum(mine) * p(g[1:])
+
+    return p
+
+
+def test_kneser_ney_against_dictionaries():
+    rng = np.random.default_rng(3)
+    s = rng.choice([1, 2, 3, 5, 27], 400, p=[0.4, 0.3, 0.1, 0.1, 0.1]).astype(np.uint8)
+    k, c = np.unique(quality.keys(s), return_counts=True)
+    split = lambda x: tuple(int(x) // quality.SYMBOLS**i % quality.SYMBOLS for i in range(quality.ORDER - 1, -1, -1))
+    model, plain = quality.KneserNey(k, c), plain_kneser_ney({split(x): int(n) for x, n in zip(k, c)})
+    asked = np.concatenate([k[::3], rng.integers(0, quality.SYMBOLS**quality.ORDER, 30), quality.keys(rng.choice([1, 2, 3, 9], 60).astype(np.uint8))])
+    assert np.allclose(model.logp(asked), [math.log10(plain(split(x))) for x in asked])
+
+
+def test_verdicts_follow_from_scores_and_bands(spark):
+    """kept, from the perplexities in the result: medians, scaled distances and their median, by plain loops."""
+    rows = quality.judge(spark.read.parquet(f"{SF}/documents.parquet").limit(150)).collect()
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    middle = lambda v: sorted(v)[max(0, math.ceil(len(v) / 2) - 1)]
+    for lang in {r.lang for r in rows}:
+        mine = [(math.log10(r.perplexity), len(text[r.doc_id]), r) for r in rows if r.lang == lang and text[r.doc_id]]
+        m = middle([x for x, _, _ in mine])
+        wide = lambda n: math.sqrt(1 + quality.SHORT / n)
+        mad = max(1.4826 * middle([abs(x - m) / wide(n) for x, n, _ in mine]), 4 / quality.BIN)
+        for x, n, r in mine:
+            z = (x - m) / (mad * wide(n))
+            assert abs(z - r.deviation) < 0.05 + 0.1 * abs(z)
+            failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+            if abs(abs(z) - quality.UPPER) > 0.5 + 0.1 * abs(z):
+                assert r.kept == (not failed and quality.LOWER <= z <= quality.UPPER)
+
+
+def test_models_keep_to_their_size(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([("x", int(k), int(c)) for k, c in zip(rng.permutation(64**3)[:3000], rng.integers(1, 30, 3000))], "lang string, k int, c bigint")
+    full, small = quality._model(df)["x"], quality._model(df, most=500)["x"]
+    assert len(full.key[-1]) == 3000 and 300 < len(small.key[-1]) <= 500
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -173,6 +271,42 @@ def test_long_candidates_are_judged_whole():
     assert key not in secrets.without(text, secrets.united(found, secrets.THRESHOLD))
 
 
+def test_secrets_against_a_plain_scan(spark):
+    """Every rule over every text, every tree walked node by node, spans united character by character."""
+    forest = secrets.default_forest()
+
+    def walk(x):
+        total = 0.0
+        for feature, cut, kids, share in forest.nodes:
+            at = 0
+            while feature[at] >= 0:
+                at = kids[at][int(x[feature[at]] > cut[at])]
+            total += share[at]
+        return total / len(forest.nodes)
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source").collect()
+    want = {}
+    for r in rows:
+        text, spans = r.text or "", {}
+        for rule, pattern in secrets.RULES.items():
+            for m in re.finditer(pattern, text, re.S):
+                spans.setdefault(m.span("value") if "value" in m.groupdict() else m.span(), rule)
+        taken = [(a, b) for (a, b), rule in spans.items()
+                 if walk(secrets.features(text[a:b], rule, text[max(0, a - 80) : a], text[b : b + 40], r.source)) >= secrets.THRESHOLD]
+        inside = {i for a, b in taken for i in range(a, b - 1)}  # a character and the next one belong together
+        covered = sorted({i for a, b in taken for i in range(a, b)})
+        want[r.doc_id] = (len(spans), sum(i - 1 not in inside for i in covered))
+    got = {r.doc_id: (r.n_candidates, r.n_secrets) for r in secrets.scan(spark.createDataFrame(rows)).collect()}
+    assert got == want and sum(n for _, n in want.values()) > 5
+
+
+def test_paths_of_other_types_count_in_both(spark):
+    docs = documents(spark, texts=[(1, 'x token = "531d33d281ee7945b4ffb358ababf877ac2efa08" y')] * 4).withColumn("source", F.lit(77)).withColumn("path", F.lit("own"))
+    cut = secrets.redact(docs)
+    assert cut.columns == docs.columns and cut.select("path", "source").distinct().collect() == [("own", 77)]
+    assert secrets.scan(docs).where("n_secrets = 1").count() == cut.where("text not like '%531d33d2%'").count() == 4
+
+
 def test_secret_edges(spark):
     docs = documents(spark)
     assert secrets.scan(docs).count() == len(TEXTS) and secrets.redact(docs).count() == len(TEXTS)
