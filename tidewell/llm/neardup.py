@@ -17,7 +17,8 @@
 Cases: null or empty text: no shingles, linked with nothing; fewer words than
 a shingle: the whole sequence is the one shingle; equal ids are one node; a
 null id is linked with nothing and kept; ties of ids cannot arise (the least
-id represents); extra columns are ignored.
+id represents); ids are whole numbers, and texts that are none raise an error;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ BANDS = 42
 ROWS = 6
 #: Shingles whose registers are drawn together.
 CHUNK = 32_768
+#: Rows of a bucket from which its head is broadcast rather than joined by hash, and most such buckets.
+HOT_ROWS, MOST_HOT = 2_000, 100_000
+#: Pairs of one text that are verified together; further ones go to tasks of their own.
+PAIRS = 256
 #: Further pivots per bucket before the exact pairing of what is left.
 PIVOT_ROUNDS = 2
 
@@ -142,13 +147,39 @@ def _check(size: int, percent: int):
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    """The pairs (a, b) whose whole shingle sets are similar enough.
+
+    A text ``a`` with many pairs (the pivot of a large bucket) is sent to so
+    many tasks that each verifies about ``PAIRS`` of them.
+    """
+    pairs = stored(pairs, "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts"))
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(parts, "a")
+    left = left.select("a", "ta", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    wide = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    dealt = by_bucket(pairs, parts.select("a", "parts", (F.col("parts") * PAIRS).cast("bigint").alias("k")), "a")
+    dealt = dealt.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    wide = dealt.join(right, "b").join(left, ["a", "part"]).select("a", "b", "ta", "tb")
     return wide.mapInArrow(_check(size, percent), "a bigint, b bigint")
 
 
+def by_bucket(rows: DataFrame, heads: DataFrame, key: str = "h") -> DataFrame:
+    """Rows joined with the one head (key, k rows, ...) of their bucket.
+
+    Heads of large buckets are broadcast, so these buckets' rows are not dealt
+    by the key.  There are never more than ``MOST_HOT`` of them: a bucket is
+    large only beyond that share of all rows.
+    """
+    heads = stored(heads, "heads")
+    total = heads.agg(F.sum("k")).first()[0] or 0
+    limit = max(HOT_ROWS, total // MOST_HOT)
+    hot = heads.where(F.col("k") > limit)
+    if hot.isEmpty():
+        return rows.join(heads, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(heads.where(F.col("k") <= limit), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def _fits(percent: int):
     """Sizes at which a pair can be similar enough at all."""
     return F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
@@ -169,8 +200,8 @@ def _rarest(size: int, percent: int):
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of buckets (h, node, n) whose nodes are in several components, with c."""
     m = members.join(labels.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    torn = m.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    return m.join(torn, "h")
+    torn = m.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi").select("h", "k")
+    return by_bucket(m, torn).drop("k")
 
 
 def _empty(spark, schema: str) -> DataFrame:
@@ -182,7 +213,7 @@ def near_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     spark = nodes.sparkSession
     buckets = nodes.select("node", "n", F.explode("bands").alias("h"))
     heads = buckets.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = stored(buckets.join(heads, "h").select("h", "node", "n", "p", "k"), "buckets")
+    members = stored(by_bucket(buckets, heads).select("h", "node", "n", "p", "k"), "buckets")
     tried = (
         members.where("node <> p.node")
         .select(F.col("p.node").alias("a"), F.col("node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
@@ -197,9 +228,9 @@ def near_links(nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> D
             return links
         # another pivot: the member that comes first in an order of its own for this round
         first = rest.groupBy("h").agg(
-            F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n", "c")).alias("p"))
+            F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("o"), "node", "n", "c")).alias("p"), F.count(F.lit(1)).alias("k"))
         more = (
-            rest.join(first, "h").where("c <> p.c")
+            by_bucket(rest, first).where("c <> p.c")
             .select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
             .distinct().where(_fits(percent)).select("a", "b")
         )
