@@ -51,9 +51,9 @@ RANGE_BYTES = 8 << 20
 #: Words that may be broadcast with exact counts.
 FREQUENT = 1 << 20
 #: Tokens that a task gathers before it combines them.
-GATHER = 1_500_000
+GATHER = 1_000_000
 #: Documents that a task scores together.
-SCORED = 500
+SCORED = 250
 #: Weights of the shorter probability, for pairs and for triples.
 WEIGHTS = 400.0, 10.0
 
@@ -248,9 +248,8 @@ _FILTER = "kind int, r bigint, blocks bigint, data binary, tokens bigint, h arra
 class Scorer:
     """What a worker needs to score texts, but for the levels of their keys."""
 
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int, filters: list[Ranges] | None = None):
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], tokens: int, distinct: int, texts: int):
         self.frequent, self.tokens, self.distinct, self.texts = frequent, tokens, distinct, texts
-        self.filters = filters
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of frequent words, -1 for all others."""
@@ -303,15 +302,15 @@ class Scorer:
         ], names=["rid", "score", "n_tokens", "known", "base", "rare_h", "rare_n", "doc_id", "held_out"])
 
 
-def _score(shared):
-    """Texts scored with the filter at hand."""
+def _score(shared, filters):
+    """Texts scored with the filter at hand, a broadcast for each kind of key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memo = shared.value, WordHasher()
         for batch in batches:
             for i in range(0, batch.num_rows, SCORED):
                 b = batch.slice(i, SCORED)
-                yield model.rows(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3), memo, lambda kind, k: model.filters[kind].levels(k))
+                yield model.rows(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3), memo, lambda kind, k: filters[kind].value.levels(k))
 
     return tidy(run)
 
@@ -417,8 +416,9 @@ def score(
     rows = d.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", held.alias("held_out"))
     model, schema = Scorer(top, tokens, distinct, n_train), f"{_MAIN}, doc_id {kind}, held_out boolean"
     if size <= filter_bytes:
-        model.filters = [_load(filters, k, ranges) for k in range(3)]
-        scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema)
+        share = spark.sparkContext.broadcast
+        shared = [share(_load(filters, k, ranges)) for k in range(3)]  # the driver holds one kind at a time
+        scored = rows.mapInArrow(_score(share(model), shared), schema)
     else:
         rows = stored(rows.withColumn("block", F.floor(F.col("rid") / SCORED).cast("bigint")), "texts")
         asked = rows.select("block", "text").mapInArrow(_ask(ranges), "kind int, r bigint, block bigint, list binary")
