@@ -124,15 +124,18 @@ def orphan_counts(edges: list[tuple[str, DataFrame, str, DataFrame, str]]) -> Da
     the parents' keys settles all references.
     """
     by_child: dict[int, tuple[DataFrame, list]] = {}
-    for name, child, c, parent, _ in edges:
-        by_child.setdefault(id(child), (child, []))[1].append(F.struct(F.lit(name).alias("edge"), F.col(c).cast("string").alias("k")))
+    whole = {"byte", "short", "integer", "long"}
+    kinds = {df.schema[c].dataType.typeName() for _, child, cc, parent, pc in edges for df, c in ((child, cc), (parent, pc))}
+    kind = "bigint" if kinds <= whole else "string"  # one type for all keys
+    for i, (_, child, c, _, _) in enumerate(edges):
+        by_child.setdefault(id(child), (child, []))[1].append(F.struct(F.lit(i).alias("e"), F.col(c).cast(kind).alias("k")))
     every = lambda dfs: reduce(DataFrame.unionByName, dfs)
     keys = every([child.select(F.explode(F.array(*entries)).alias("x")).select("x.*") for child, entries in by_child.values()])
-    keys = keys.where("k is not null").groupBy("edge", "k").agg(F.count(F.lit(1)).alias("n"))
-    known = every([parent.select(F.lit(name).alias("edge"), F.col(c).cast("string").alias("k")) for name, _, _, parent, c in edges])
-    found = keys.join(known, ["edge", "k"], "left_anti").groupBy("edge").agg(F.sum("n").alias("n_orphans"))
-    names = keys.sparkSession.createDataFrame([(e[0],) for e in edges], "edge string")
-    return names.join(found, "edge", "left").select("edge", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
+    keys = keys.where("k is not null").groupBy("e", "k").agg(F.count(F.lit(1)).alias("n"))
+    known = every([parent.select(F.lit(i).alias("e"), F.col(c).cast(kind).alias("k")) for i, (_, _, _, parent, c) in enumerate(edges)])
+    found = keys.join(known, ["e", "k"], "left_anti").groupBy("e").agg(F.sum("n").alias("n_orphans"))
+    names = keys.sparkSession.createDataFrame([(i, e[0]) for i, e in enumerate(edges)], "e int, edge string")
+    return names.join(found, "e", "left").select("edge", F.coalesce("n_orphans", F.lit(0)).alias("n_orphans"))
 
 
 def nulled(rows: DataFrame, columns: Key) -> DataFrame:
