@@ -127,8 +127,8 @@ def test_perplexity_is_a_distribution_and_separates():
     texts = ["the cat sat on the mat and the dog lay on the rug. " * 8, "a quiet evening by the river where the water runs. " * 8]
     k = np.concatenate([quality.keys(quality.symbols(t)) for t in texts])
     model = quality.KneserNey(*np.unique(k, return_counts=True))
-    for ctx in (int(k[40]) // 64, 12345):
-        assert abs(model._at(4, ctx * 64 + np.arange(64)).sum() - 1) < 1e-6
+    for ctx in (int(k[40]) // quality.SYMBOLS, 12345):
+        assert abs(model._at(4, ctx * quality.SYMBOLS + np.arange(quality.SYMBOLS)).sum() - 1) < 1e-6
     s = quality.Scorer({"en": model}, ["en", "*"])
     good, bad = s.of(["the dog sat by the river", "zq#x| vv$$ %%k zzxq"], ["en", "en"])
     assert good < bad
@@ -169,6 +169,39 @@ def test_kneser_ney_against_dictionaries():
     assert np.allclose(model.logp(asked), [math.log10(plain(split(x))) for x in asked])
 
 
+def test_looked_up_scores_are_the_models(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abc dé\u00c9жщ京都日本ß😀"), n))
+    models = {x: quality.KneserNey(*np.unique(quality.keys(quality.symbols(text(3000))), return_counts=True)) for x in ("a", "b")}
+    for memo in (quality.MEMO, 500):  # also where the table is begun anew between batches
+        monkeypatch.setattr(quality, "MEMO", memo)
+        s = quality.Scorer(models, ["b", "a", "*"])
+        for _ in range(6):
+            k = quality.keys(quality.symbols(text(400)))
+            at = s._rows(k)
+            for i, name in enumerate(["b", "a"]):
+                assert np.allclose(s.table[i][at], models[name].logp(k), atol=1e-5)
+
+
+def test_letters_of_other_alphabets_have_classes_of_their_own():
+    letters = "абвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρστυφχψωابتثجحخدذرزسشصضطظعغفقكلمنهوي"
+    assert len(set(quality.symbols(letters).tolist())) == len(letters)
+    assert (quality.symbols("ÀÉЖΩ") == quality.symbols("àéжω")).all()
+
+
+@pytest.mark.parametrize("first, many", [(0x430, 32), (0x4E00, 2000), (0x627, 28)])
+def test_other_scripts_are_told_from_jumble(spark, first, many):
+    """Texts of some hundred made-up words, and the same letters in any order."""
+    rng = np.random.default_rng(first)
+    words = ["".join(chr(first + int(x)) for x in rng.integers(0, many, rng.integers(2, 7))) for _ in range(400)]
+    clean = [(i, " ".join(rng.choice(words, int(rng.integers(60, 200))))) for i in range(400)]
+    bad = [(1000 + i, "".join(rng.permutation(list(t)))) for i, t in clean[:20]]
+    rows = spark.createDataFrame([(*r, "xx") for r in [*clean, *bad]], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(rows).where("kept").collect()}
+    assert len([i for i in kept if i < 1000]) >= 392
+    assert not [i for i in kept if i >= 1000]
+
+
 def test_verdicts_follow_from_scores_and_bands(spark):
     """kept, from the perplexities in the result: medians, scaled distances and their median, by plain loops."""
     rows = quality.judge(spark.read.parquet(f"{SF}/documents.parquet").limit(150)).collect()
