@@ -202,6 +202,19 @@ def test_other_scripts_are_told_from_jumble(spark, first, many):
     assert not [i for i in kept if i >= 1000]
 
 
+def test_letters_taken_for_others_of_an_alphabet_are_noticed(spark):
+    """Every other letter replaced by that half an alphabet away: a difference that code points modulo 16 do not show."""
+    rng = np.random.default_rng(8)
+    words = ["".join(chr(0x430 + int(x)) for x in rng.integers(0, 32, rng.integers(2, 7))) for _ in range(400)]
+    clean = [(i, " ".join(rng.choice(words, int(rng.integers(60, 200))))) for i in range(400)]
+    other = lambda c: chr(0x430 + ((ord(c) - 0x430) ^ 16)) if c != " " and rng.random() < 0.5 else c
+    bad = [(1000 + i, "".join(map(other, t))) for i, t in clean[:20]]
+    rows = spark.createDataFrame([(*r, "xx") for r in [*clean, *bad]], "doc_id bigint, text string, lang string")
+    kept = {r.doc_id for r in quality.judge(rows).where("kept").collect()}
+    assert len([i for i in kept if i < 1000]) >= 392
+    assert not [i for i in kept if i >= 1000]
+
+
 def test_verdicts_follow_from_scores_and_bands(spark):
     """kept, from the perplexities in the result: medians, scaled distances and their median, by plain loops."""
     rows = quality.judge(spark.read.parquet(f"{SF}/documents.parquet").limit(150)).collect()
