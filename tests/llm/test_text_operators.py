@@ -46,6 +46,21 @@ def test_lm_parts_agree(spark):
     assert all(abs(one[k] - many[k]) < 1e-6 * abs(one[k]) for k in one)
 
 
+def test_lm_asks_in_large_blocks(spark, monkeypatch):
+    """A block has a message for each range, so both must not be many; the scores are those of the broadcast filter."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(2000).coalesce(1)
+    kept, stored = {}, lm.stored
+    monkeypatch.setattr(lm, "stored", lambda df, what: kept.setdefault(what, stored(df, what)))
+    one = {r.doc_id: r.score for r in lm.score(docs, range_bytes=20_000).collect()}
+    kept.clear()
+    many = {r.doc_id: r.score for r in lm.score(docs, filter_bytes=0, range_bytes=20_000).collect()}
+    assert one == many
+    assert kept["texts"].select("block").distinct().count() == 1
+    kept.clear()
+    assert one == {r.doc_id: r.score for r in lm.score(docs, filter_bytes=0, range_bytes=20_000, block_bytes=500_000).collect()}
+    assert kept["texts"].select("block").distinct().count() > 5
+
+
 def test_lm_score_against_plain_counts(spark):
     """Every probability from plain counters; the filter may only add what its false positives add."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()

@@ -16,8 +16,9 @@ Counting combines before it shuffles: a task sends, for each range of hashes,
 one compressed list of sorted keys and counts.  The filter is made range by
 range where the counts are.  A filter of up to ``filter_bytes`` is broadcast
 and texts are scored in one narrow pass.  A larger one stays where it is:
-blocks of documents send their distinct keys to the ranges, once, and get the
-levels back; nothing then grows with the corpus but the number of ranges.
+blocks of some 16 MB of text send their distinct keys to the ranges, once, and
+get the levels back, in the order of the keys.  A block has a message for each
+range, so these are many keys long even where there are thousands of ranges.
 
 The unigram baseline uses exact counts: words with a share of at least 2^-20
 of all tokens (so at most 2^20 of them) are broadcast, the others are joined.
@@ -36,6 +37,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,10 @@ FREQUENT = 1 << 20
 GATHER = 1_000_000
 #: Documents that a task scores together.
 SCORED = 250
+#: Text bytes of a block that asks for its levels together, and what a row counts besides its text.
+BLOCK_BYTES, ROW_BYTES = 16 << 20, 100
+#: Keys whose levels are read together.
+ASKED = 500_000
 #: Weights of the shorter probability, for pairs and for triples.
 WEIGHTS = 400.0, 10.0
 
@@ -284,8 +290,7 @@ class Scorer:
             shorter = c
         return np.bincount(owner, np.log10(prob), len(hs)).astype(float), exact
 
-    def rows(self, ids, texts: list[str | None], docs, held, memo: WordHasher, levels) -> pa.RecordBatch:
-        hs = [np.append(memo.of(ascii_words(t)), END) for t in texts]
+    def rows(self, ids, hs: list[np.ndarray], docs, held, levels) -> pa.RecordBatch:
         score, count = self.logp(hs, levels)
         known, cut = count >= 0, np.cumsum([len(h) for h in hs])[:-1]
         rare_h, rare_n = [], []
@@ -302,6 +307,10 @@ class Scorer:
         ], names=["rid", "score", "n_tokens", "known", "base", "rare_h", "rare_n", "doc_id", "held_out"])
 
 
+def _hashed(texts: Iterable[str | None], memo: WordHasher) -> list[np.ndarray]:
+    return [np.append(memo.of(ascii_words(t)), END) for t in texts]
+
+
 def _score(shared, filters):
     """Texts scored with the filter at hand, a broadcast for each kind of key."""
 
@@ -310,62 +319,86 @@ def _score(shared, filters):
         for batch in batches:
             for i in range(0, batch.num_rows, SCORED):
                 b = batch.slice(i, SCORED)
-                yield model.rows(b.column(0), b.column(1).to_pylist(), b.column(2), b.column(3), memo, lambda kind, k: filters[kind].value.levels(k))
+                hs = _hashed(b.column(1).to_pylist(), memo)
+                yield model.rows(b.column(0), hs, b.column(2), b.column(3), lambda kind, k: filters[kind].value.levels(k))
+
+    return tidy(run)
+
+
+def _blocks(block_bytes: int):
+    """Rows with the block they belong to: the number of its first row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size = None, 0
+        for batch in batches:
+            of = []
+            for rid, n in zip(batch.column(0).to_pylist(), pc.binary_length(batch.column(1)).to_pylist()):
+                n = (n or 0) + ROW_BYTES
+                if block is None or size + n > block_bytes:
+                    block, size = rid, 0
+                size += n
+                of.append(block)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int64())], names=[*batch.schema.names, "block"])
 
     return tidy(run)
 
 
+def _distinct(hs: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The distinct words, pairs and triples of some texts, sorted."""
+    for kind in range(3):
+        yield np.unique(np.concatenate([token_keys(h)[kind] for h in hs]))
+
+
 def _ask(ranges: int):
     """(kind, range, block, list): the distinct keys of a block of texts, for the ranges that hold their levels."""
 
-    def out(block: int, hs: list[np.ndarray]) -> pa.RecordBatch:
-        rows = []
-        for kind, keys in enumerate(zip(*map(token_keys, hs))):
-            key = np.unique(np.concatenate(keys))
+    def run(texts: pa.Table) -> pa.Table:
+        block, rows = texts.column("block")[0].as_py(), []
+        for kind, key in enumerate(_distinct(_hashed((t.as_py() for t in texts.column("text")), WordHasher()))):
             rows += [(kind, r, block, _packed(key[a:b], np.zeros(0))) for r, a, b in _by_range(key, ranges)]
         types = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "r", "block", "list"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held, now = WordHasher(), [], None
-        for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if block != now and held:
-                    yield out(now, held)
-                    held = []
-                now = block
-                held.append(np.append(memo.of(ascii_words(text.as_py())), END))
-        if held:
-            yield out(now, held)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "r", "block", "list"])
 
-    return tidy(run)
+    return run
 
 
 def _answer(asked: pa.Table, made: pa.Table) -> pa.Table:
-    """The asked keys of one range with their levels (0 without a filter)."""
-    keys = [_unpacked(x)[0] for x in asked.column("list").to_pylist()]
-    level_ = [np.zeros(len(k), np.int64) for k in keys]
+    """The levels of the asked keys of one range (0 without a filter), in the order of the keys."""
+    blocks = data = None
     if made.num_rows:
         blocks, data = made.column("blocks")[0].as_py(), np.frombuffer(made.column("data")[0].as_py(), "<u8")
-        level_ = [levels_of(k, np.full(len(k), blocks, np.uint64), np.zeros(len(k), np.int64), data) for k in keys]
-    return pa.table({"kind": asked.column("kind"), "block": asked.column("block"), "list": asked.column("list"),
-                     "levels": pa.array([x.astype(np.uint8).tobytes() for x in level_], pa.binary())})
+    out, held, size = [], [], 0
+
+    def flush():
+        key = np.concatenate(held)
+        level_ = np.zeros(len(key), np.uint8)
+        if blocks:
+            level_ = levels_of(key, np.full(len(key), blocks, np.uint64), np.zeros(len(key), np.int64), data).astype(np.uint8)
+        out.extend(x.tobytes() for x in np.split(level_, np.cumsum([len(k) for k in held])[:-1]))
+        held.clear()
+
+    for x in asked.column("list"):
+        held.append(_unpacked(x.as_py())[0])
+        size += len(held[-1])
+        if size >= ASKED:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return pa.table({"kind": asked.column("kind"), "r": asked.column("r"), "block": asked.column("block"), "levels": pa.array(out, pa.binary())})
 
 
 def _score_block(shared):
     """The texts of one block scored with the levels that came back for it."""
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known = []
-        for kind in range(3):
-            mine = [(k, v) for n, k, v in zip(*[answers.column(c).to_pylist() for c in ("kind", "list", "levels")]) if n == kind]
-            key = np.concatenate([_unpacked(k)[0] for k, _ in mine] or [np.zeros(0, np.uint64)])
-            value = np.concatenate([np.frombuffer(v, np.uint8) for _, v in mine] or [np.zeros(0, np.uint8)])
-            order = np.argsort(key, kind="stable")
-            known.append((key[order], value[order].astype(np.int64)))
+        hs = _hashed((t.as_py() for t in texts.column("text")), WordHasher())
+        got = sorted(zip(*[answers.column(c).to_pylist() for c in ("kind", "r", "levels")]))
+        known = [(key, np.frombuffer(b"".join(v for n, _, v in got if n == kind), np.uint8).astype(np.int64)) for kind, key in enumerate(_distinct(hs))]
         levels = lambda kind, k: known[kind][1][np.searchsorted(known[kind][0], k)]
-        one = texts.combine_chunks().to_batches()
-        made = [shared.value.rows(b.column("rid"), b.column("text").to_pylist(), b.column("doc_id"), b.column("held_out"), WordHasher(), levels) for b in one]
+        ids, docs, held = (texts.column(c).combine_chunks() for c in ("rid", "doc_id", "held_out"))
+        part = lambda i: slice(i, i + SCORED)
+        made = [shared.value.rows(ids[part(i)], hs[part(i)], docs[part(i)], held[part(i)], levels) for i in range(0, len(hs), SCORED)]
         return pa.Table.from_batches(made)
 
     return run
@@ -390,6 +423,7 @@ def score(
     filter_bytes: int = FILTER_BYTES,
     range_bytes: int = RANGE_BYTES,
     frequent: int = FREQUENT,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -420,11 +454,11 @@ def score(
         shared = [share(_load(filters, k, ranges)) for k in range(3)]  # the driver holds one kind at a time
         scored = rows.mapInArrow(_score(share(model), shared), schema)
     else:
-        rows = stored(rows.withColumn("block", F.floor(F.col("rid") / SCORED).cast("bigint")), "texts")
-        asked = rows.select("block", "text").mapInArrow(_ask(ranges), "kind int, r bigint, block bigint, list binary")
+        rows = stored(rows.mapInArrow(_blocks(block_bytes), f"rid bigint, text string, doc_id {kind}, held_out boolean, block bigint"), "texts").groupBy("block")
+        asked = rows.applyInArrow(_ask(ranges), "kind int, r bigint, block bigint, list binary")
         made = filters.select("kind", "r", "blocks", "data")
-        answers = asked.groupBy("kind", "r").cogroup(made.groupBy("kind", "r")).applyInArrow(_answer, "kind int, block bigint, list binary, levels binary")
-        scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(spark.sparkContext.broadcast(model)), schema)
+        answers = asked.groupBy("kind", "r").cogroup(made.groupBy("kind", "r")).applyInArrow(_answer, "kind int, r bigint, block bigint, levels binary")
+        scored = rows.cogroup(answers.groupBy("block")).applyInArrow(_score_block(spark.sparkContext.broadcast(model)), schema)
     main = stored(scored, "scores")
     # words that are not broadcast: their exact counts by join, summed per document
     rare = main.select("rid", F.explode(F.arrays_zip("rare_h", "rare_n")).alias("x")).select("rid", F.col("x.rare_h").alias("h"), F.col("x.rare_n").alias("n"))
