@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tests.llm.edge import TEXTS, documents, empty
 from tidewell.llm import licenses, lm, packing, quality, secrets
 
@@ -266,6 +267,18 @@ def test_quality_is_the_same_in_parts(spark, monkeypatch):
     assert all(len(x) > 2 for x in parts)
 
 
+def test_pipeline_quality_is_the_same_in_parts(spark, monkeypatch):
+    """The pipeline's first stage keeps the same rows on either side of the bound."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    kept = lambda: sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, SF).collect())
+    whole = kept()
+    parts, share = [], quality.Counted.share
+    monkeypatch.setattr(quality, "MOST_ROWS", 9000)
+    monkeypatch.setattr(quality.Counted, "share", lambda *a: parts.append(share(*a)) or parts[-1])
+    assert kept() == whole
+    assert all(len(x) > 2 for x in parts)
+
+
 def test_quality_rejects_junk_and_keeps_clean(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
