@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.edge import LONG, TEXTS, documents, empty
 from tidewell.llm import components, decontaminate, html_extract, neardup, substrings, suffixes, warc
-from tidewell.llm._common import WordHasher, alnum_words, ascii_words, shared_dir
+from tidewell.llm._common import WordHasher, alnum_words, ascii_words, shared_dir, stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -450,6 +450,41 @@ def test_stages_against_plain_versions(spark, n, awkward):
     assert bag(got) == bag(want)
 
 
+def test_pipeline_keeps_the_same_rows_by_either_join(spark):
+    """Spark broadcasts rejected texts or sorts by them, as their size has it; that leaves rows in different orders."""
+    import corpus_pipeline
+
+    docs, made = spark.read.parquet(f"{SF}/documents.parquet"), []
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for bound in (before, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+            d = docs
+            for name, stage in corpus_pipeline.STAGES[:2]:
+                d = stored(stage(spark, d, SF), name)
+            made.append(bag(d.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert made[0] == made[1] and 0 < made[0].total() < docs.count()
+
+
+def test_near_duplicates_stay_by_id_and_content(spark):
+    """Rows in two orders: the least id of a group stays, null ids go first, equal ids are told apart by any column."""
+    import corpus_pipeline
+
+    text = "a b c d e f g h i j k l m n o p"
+    rows = [(i, text, {"k": i or 0}) for i in (None, 12, 9, 10)] + [(i, text + " x y z", {"k": k}) for i in (7, None) for k in range(40)]
+    rows += [(i, None, None) for i in (1, 1, None)]
+    rows += [(None, "r s t u v w x", {"k": k}) for k in range(40)]
+    made = []
+    for part in (rows, rows[::-1]):
+        docs = spark.createDataFrame(part, "doc_id int, text string, more map<string,int>").repartition(1)
+        made.append([tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()])
+    assert bag(made[0]) == bag(made[1])
+    assert [r[0] for r in made[0] if r[1] and r[1].startswith(text)] == [7]
+    assert len([r for r in made[0] if r[1] is None]) == 3 and len(made[0]) == 5
+
+
 @pytest.mark.parametrize("n", range(5))
 def test_stages_on_no_rows(spark, n):
     import corpus_pipeline
